@@ -65,3 +65,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN s USING (rid)
 """
 )
+
+URL_FILTERS = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                        ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(rh, rp, v)
+), j AS (
+  SELECT page_id, host, path,
+         (SELECT rh || rp FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN (SELECT v FROM r WHERE rh || rp = rule)
+            WHEN regexp_matches(host || path, '^([^/]*\.)?spam-farm\.') OR regexp_matches(host || path, '^([^/]*\.)?adult-[a-z0-9]+\.')
+                 OR regexp_matches(host || path, '^([^/]*[.-])?casino[.-]') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM j
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM o
+"""

@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from . import oracles
 from .packing import op4
+from .piece_tokens import op1
 from .quality_classifier import op2
 from .quality_rules import op3
 from .secret_scan import op5
 from .simhash import op9
+from .url_filter import op8
+from .warc import op7
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_sentencepiece": op1,
         "op2_quality_classifier": op2,
         "op3_quality_rules": op3,
         "op4_packing": op4,
         "op5_secret_scans": op5,
+        "op7_warc": op7,
+        "op8_url_filters": op8,
         "op9_simhash": op9,
     }
 
@@ -26,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": oracles.QUALITY_RULES,
         "op5_secret_scans": oracles.SECRET_SCANS,
+        "op7_warc": oracles.WARC,
+        "op8_url_filters": oracles.URL_FILTERS,
     }

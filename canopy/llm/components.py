@@ -8,6 +8,7 @@ is ever collected.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,19 @@ def components(links: DataFrame) -> DataFrame:
         state = materialise(_small_star(_large_star(state)), "links")
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def spanning(n: int, pairs) -> np.ndarray:
+    """For each of n items the first item that pairs connect it to."""
+    parent = np.arange(n)
+    for i, j in pairs:
+        while len(i):
+            a, b = parent[i], parent[j]
+            open_ = a != b
+            if not open_.any():
+                break
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+    return parent

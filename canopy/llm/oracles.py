@@ -98,3 +98,21 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
 FROM o
 """
+
+VECTOR_DEDUP = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid AS x, b.rid AS y FROM ok AS a JOIN ok AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT rid AS x, rid AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), c AS (
+  SELECT reach.x AS rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.y GROUP BY reach.x
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) AS n ON n.x = v.rid
+"""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, table
-from .components import components
+from .components import components, spanning
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
 GROUP_ROWS = 1000
@@ -164,22 +164,6 @@ class Index:
         return q[keep], node[keep]
 
 
-def _forest(n: int, pairs) -> np.ndarray:
-    """For each of n items the first item that pairs connect it to."""
-    parent = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = parent[i], parent[j]
-            open_ = a != b
-            if not open_.any():
-                break
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-    return parent
-
-
 def _group_links(batches):
     """Spanning links of the groups of a partition, whole groups at a time."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -190,7 +174,7 @@ def _group_links(batches):
         many = np.repeat(sizes > 1, sizes)
         fp, rep, sizes = fp[many].view(np.uint64), rep[many], sizes[sizes > 1]
         if len(sizes):
-            parent = _forest(len(fp), Index(fp, sizes).links())
+            parent = spanning(len(fp), Index(fp, sizes).links())
             at = np.flatnonzero(parent != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[parent[at]])], names=["u", "v"])
 

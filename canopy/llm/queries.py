@@ -11,6 +11,7 @@ from .quality_classifier import op2
 from .quality_rules import op3
 from .secret_scan import op5
 from .simhash import op9
+from .training_order import op10
 from .url_filter import op8
 from .vector_dedup import op6
 from .warc import op7
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable]:
         "op7_warc": op7,
         "op8_url_filters": op8,
         "op9_simhash": op9,
+        "op10_training_order": op10,
     }
 
 

@@ -30,13 +30,19 @@ from .common import map_arrow, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-_CHUNKS, _PAIRS, _LONGEST = 400_000, 400_000, 64
+_CHUNKS, _PAIRS, _LONGEST = 800_000, 400_000, 64
+#: Marks that often close a word: cut off where no token spans the place.
+_CLOSING = ".,;:!?*$%&#|"
 #: A chunk of a text with several marks in a row: the marks and what follows.
 _RUNS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class PieceEncoder(dict):
-    """Chunk -> little-endian unsigned 32-bit ids, filled on demand."""
+    """Chunk -> little-endian unsigned 32-bit ids, filled on demand.
+
+    A chunk stands for itself after a word mark, or, where it begins with a line
+    feed, for that line feed and a word without a mark.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -48,6 +54,7 @@ class PieceEncoder(dict):
         self.rank = {p: (-sp.get_score(i)) for p, i in self.ids.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.chars = {c for p in self.ids for c in p}
+        self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(c in self.chars for c in " \n") or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has tokens that cross a word or line end")
         self.automaton = ahocorasick.Automaton()
@@ -55,7 +62,7 @@ class PieceEncoder(dict):
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.lengths = {i: len(p) for p, i in self.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.names = [str(i) for i in range(size)]
         for probe in ("a  b", " x\ny ", "\u0001é"):
             if self.encode(probe).tolist() != sp.encode(probe):
@@ -72,32 +79,37 @@ class PieceEncoder(dict):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _fits(self, before: int, token: int) -> bool:
+    def _pair(self, code: int, before: int, token: int) -> bool:
         """Whether ``token`` can follow ``before`` (-1: nothing before it)."""
-        out = self.pairs.get((before, token))
-        if out is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            want = [self.pieces[token]] if before < 0 else [self.pieces[before], self.pieces[token]]
-            out = self.pairs[before, token] = self._merge("".join(want)) == want
+        if len(self.pairs) >= _PAIRS:
+            self.pairs.clear()
+        want = [self.pieces[token]] if before < 0 else [self.pieces[before], self.pieces[token]]
+        out = self.pairs[code] = self._merge("".join(want)) == want
         return out
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are in the vocabulary."""
-        whole = self.ids.get(text)
-        if whole is not None and self._fits(-1, whole):
-            return [whole]
+        fits, unseen = self.pairs.get, self._pair
         last: list[int] = [-1] * (len(text) + 1)
         for end, (token, length) in self.automaton.iter(text):
             end += 1
+            if last[end] >= 0:
+                continue
             start = end - length
-            if last[end] < 0 and (start == 0 or last[start] >= 0) and self._fits(last[start], token):
+            before = last[start]
+            if before < 0 and start:
+                continue
+            code = before << 20 | token
+            ok = fits(code)
+            if ok or (ok is None and unseen(code, before, token)):
                 last[end] = token
-        out, at = [], len(text)
+        out, at, lengths = [], len(text), self.lengths
         while at > 0:
-            out.append(last[at])
-            at -= self.lengths[last[at]]
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
 
     def _encode(self, chunk: str) -> list[int]:
         if self.chars.issuperset(chunk):
@@ -114,23 +126,34 @@ class PieceEncoder(dict):
         return out + (self._known(run) if run else [])
 
     def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self._encode(chunk), "<u4").tobytes()
+        stem = chunk.rstrip(_CLOSING)
+        if stem and stem != chunk and chunk[len(stem) - 1 : len(stem) + 1] not in self.neighbours:
+            out = self[stem] + np.array(self._encode(chunk[len(stem) :]), "<u4").tobytes()
+        else:
+            ids = [self.bytes[10], *self._encode(chunk[1:])] if chunk[:1] == "\n" else self._encode(MARK + chunk)
+            out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= _LONGEST:
             if len(self) >= _CHUNKS:
                 self.clear()
             self[chunk] = out
         return out
 
+    def _run(self, chunk: str) -> bytes:
+        """A chunk of a text with several marks in a row."""
+        if chunk[0] == MARK and chunk[1:2] != MARK:
+            return self[chunk[1:]]
+        return np.array(self._encode(chunk), "<u4").tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text, without begin and end ids."""
         if not text:
             return np.zeros(0, "<u4")
-        marked = MARK + text.replace(" ", MARK)
-        if MARK + MARK in marked:
-            chunks = _RUNS.findall(marked)
+        spaced = text.replace("\n", " \n") if "\n" in text else text
+        if "  " in spaced or MARK in text or spaced[0] == " " or text[-1] == " ":
+            parts = map(self._run, _RUNS.findall(MARK + text.replace(" ", MARK)))
         else:
-            chunks = marked.replace(MARK, " " + MARK).replace("\n", " \n ").split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
+            parts = map(self.__getitem__, spaced.split(" "))
+        return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids) -> str:
         return self.library.decode(ids if isinstance(ids, list) else np.asarray(ids).tolist())

@@ -47,7 +47,8 @@ FAR, FAR_DEGREE = 24, 8
 #: The range search walks on through vectors this much below the threshold.
 SLACK = 0.03
 SEED = 6
-_PAIRS = 200_000
+#: Pairs of a query and a vector that one step handles at once.
+_PAIRS = 30_000
 
 
 def _valid():
@@ -139,63 +140,83 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, n)))
 
 
-def search(x: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+class Graph:
+    """Unit vectors with neighbour lists, one after another in ``near``."""
+
+    def __init__(self, x: np.ndarray, lists: list[np.ndarray]) -> None:
+        self.x = x
+        self.size = np.array([len(a) for a in lists], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.near = np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+
+    def expand(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of the nodes, and for each the place of its node."""
+        size = self.size[nodes]
+        at = np.repeat(self.start[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.near[at], np.repeat(np.arange(len(nodes)), size)
+
+    def cosines(self, nodes: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+        out = np.empty(len(nodes))
+        for lo in range(0, len(nodes), _PAIRS):
+            part = slice(lo, lo + _PAIRS)
+            out[part] = np.einsum("pd,pd->p", self.x[nodes[part]], queries[of[part]])
+        return out
+
+
+def search(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, member) with a cosine of at least ``threshold``."""
+    x = graph.x
     n, m = len(x), len(queries)
-    degree = neighbours.shape[1]
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True  # pads of the neighbour lists
+    seen = np.zeros((m, n), bool)
     medoid = int((x @ x.mean(0)).argmax())
-    every = np.arange(m)
-    beam = np.full((m, BEAM), n, np.int64)
+    beam = np.zeros((m, BEAM), np.int64)
     score = np.full((m, BEAM), -np.inf)
     done = np.ones((m, BEAM), bool)
     beam[:, 0], score[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
     seen[:, medoid] = True
-    padded = np.vstack([x, np.zeros((1, x.shape[1]))])
-    hits_q, hits_x = [every], [np.full(m, medoid)]
-    hits_s = [score[:, 0].copy()]
-    live = every
+    live = np.arange(m)
+    hits = [(live, beam[:, 0].copy(), score[:, 0].copy())]
     while len(live):
         pick = np.where(done[live], -np.inf, score[live]).argmax(1)
         done[live, pick] = True
-        near = neighbours[beam[live, pick]]
-        new = ~seen[live[:, None], near]
-        seen[np.repeat(live, degree), near.ravel()] = True
-        s = np.where(new, np.einsum("qrd,qd->qr", padded[near], queries[live]), -np.inf)
-        q_at, r_at = np.nonzero(s >= threshold - SLACK)
-        hits_q.append(live[q_at])
-        hits_x.append(near[q_at, r_at])
-        hits_s.append(s[q_at, r_at])
-        all_s, all_b = np.hstack([score[live], s]), np.hstack([beam[live], near])
-        all_d = np.hstack([done[live], ~new])
+        near, of = graph.expand(beam[live, pick])
+        new = ~seen[live[of], near]
+        near, of = near[new], of[new]
+        seen[live[of], near] = True
+        s = graph.cosines(near, queries, live[of])
+        close = s >= threshold - SLACK
+        hits.append((live[of[close]], near[close], s[close]))
+        width = np.bincount(of, minlength=len(live))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        wide_s, wide_b = np.full((len(live), width.max(initial=0)), -np.inf), np.zeros((len(live), width.max(initial=0)), np.int64)
+        wide_s[of, place], wide_b[of, place] = s, near
+        all_s, all_b = np.hstack([score[live], wide_s]), np.hstack([beam[live], wide_b])
+        all_d = np.hstack([done[live], wide_s == -np.inf])
         top = np.argpartition(-all_s, BEAM - 1, axis=1)[:, :BEAM]
         r = np.arange(len(live))[:, None]
         score[live], beam[live], done[live] = all_s[r, top], all_b[r, top], all_d[r, top]
         live = live[~done[live].all(1)]
-    q, at, s = np.concatenate(hits_q), np.concatenate(hits_x), np.concatenate(hits_s)
-    near_enough = s >= threshold - SLACK
-    todo = [(q[near_enough], at[near_enough], s[near_enough])]
-    found_q, found_x = [], []
+    q, at, s = (np.concatenate(c) for c in zip(*hits))
+    close = s >= threshold - SLACK
+    todo, found = [(q[close], at[close], s[close])], []
     while todo:
         q, at, s = todo.pop()
         if len(q) > _PAIRS:
-            todo += [(q[_PAIRS:], at[_PAIRS:], s[_PAIRS:])]
+            todo.append((q[_PAIRS:], at[_PAIRS:], s[_PAIRS:]))
             q, at, s = q[:_PAIRS], at[:_PAIRS], s[:_PAIRS]
         good = s >= threshold
-        found_q.append(q[good])
-        found_x.append(at[good])
-        code = np.unique((np.repeat(q, degree) * (n + 1) + neighbours[at].ravel()))
-        nq, nx = code // (n + 1), code % (n + 1)
-        new = ~seen[nq, nx]
-        nq, nx = nq[new], nx[new]
-        if len(nq):
-            seen[nq, nx] = True
-            ns = np.einsum("pd,pd->p", x[nx], queries[nq])
-            keep = ns >= threshold - SLACK
-            if keep.any():
-                todo.append((nq[keep], nx[keep], ns[keep]))
-    return np.concatenate(found_q), np.concatenate(found_x)
+        found.append((q[good], at[good]))
+        near, of = graph.expand(at)
+        new = ~seen[q[of], near]
+        code = np.unique(q[of[new]] * n + near[new])
+        q, at = code // n, code % n
+        seen[q, at] = True
+        s = graph.cosines(at, queries, q)
+        close = s >= threshold - SLACK
+        if close.any():
+            todo.append((q[close], at[close], s[close]))
+    q, at = (np.concatenate(c) for c in zip(*found))
+    return q, at
 
 
 def _build_group(frame: pd.DataFrame) -> pd.DataFrame:
@@ -216,11 +237,7 @@ def _search_group(members: pd.DataFrame, asking: pd.DataFrame, threshold: float)
         at = np.searchsorted(rep, near)
         ok = at < len(rep)
         lists.append(at[ok][rep[at[ok]] == np.asarray(near)[ok]])
-    width = max(1, max(map(len, lists)))
-    neighbours = np.full((len(rep) + 1, width), len(rep), np.int64)
-    for i, near in enumerate(lists):
-        neighbours[i, : len(near)] = near
-    i, j = search(x, neighbours, q, threshold)
+    i, j = search(Graph(x, lists), q, threshold)
     other = who[i] != rep[j]
     i, j = i[other], j[other]
     shard = int(members["shard"].iloc[0])

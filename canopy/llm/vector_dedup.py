@@ -4,9 +4,10 @@ Vectors are compared within one label and length.  Equal vectors collapse into
 one class first, so copies are never expanded.
 
 Shards: each label gets centres in proportion to its classes, fitted on a bounded
-sample, and every class joins its ``OVERLAP`` nearest ones.  A shard over its
-bound is cut into chunks; then all of its members query each chunk, block by
-block, so that no task holds more than a chunk and a block.
+sample.  Every class is indexed in the shards of its ``OVERLAP`` nearest centres and
+asks in that of the nearest one, so that a pair is counted once from each side.  A
+shard over its bound is cut into chunks, and all that ask in it ask each chunk,
+block by block: no task holds more than a chunk and a block.
 
 Graph: in each chunk a vector's nearest candidates are pruned robustly (a candidate
 goes once a chosen neighbour is closer to it by the factor ``ALPHA``), reverse
@@ -14,9 +15,8 @@ edges are added, and the lists from overlapping shards are united.
 
 Search: from a chunk's medoid a greedy search with a bounded list runs for a block
 of queries at once; from every vector within reach it then expands by range until
-nothing new is near.  Each pair is verified by its cosine in double precision and
-counted in the first shard that both share.  ``audit`` measures recall against
-brute force for the ids divisible by 100.
+nothing new is near.  Each pair is verified by its cosine in double precision.
+``audit`` measures recall against brute force for the ids divisible by 100.
 
 Defined cases: vectors or labels that are null, vectors of length 0, zero vectors
 and those with null or non-finite components link with nothing and stay; rows
@@ -78,7 +78,7 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict) -> dict:
 
 
 def _shards(classes: DataFrame) -> DataFrame:
-    """``classes`` (rep, label, dim, n, embedding) with the array ``homes``."""
+    """``classes`` (rep, label, dim, n, embedding) with ``homes``, the nearest first."""
     sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES).collect()}
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("label", "dim", "embedding").toPandas()
     centres = _fit_centres(sample, sizes) if len(sample) else {}
@@ -91,7 +91,7 @@ def _shards(classes: DataFrame) -> DataFrame:
                 if c is not None and len(c) > 1:
                     x = np.stack(f.embedding.to_numpy()[at]).astype(float)
                     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                    for row, own in zip(at, np.sort(near, axis=1)):
+                    for row, own in zip(at, near):
                         homes[row] = own.tolist()
             yield f.assign(homes=homes)
 
@@ -240,16 +240,8 @@ def _search_group(members: pd.DataFrame, asking: pd.DataFrame, threshold: float)
     i, j = search(Graph(x, lists), q, threshold)
     other = who[i] != rep[j]
     i, j = i[other], j[other]
-    shard = int(members["shard"].iloc[0])
-    h_m, h_q = _homes(members.homes), _homes(asking.homes)
-    first = np.full(len(i), np.iinfo(np.int32).max)
-    for a in range(h_q.shape[1]):
-        for b in range(h_m.shape[1]):
-            left, right = h_q[i, a], h_m[j, b]
-            first = np.where((left == right) & (left >= 0), np.minimum(first, left), first)
-    own = first == shard
     weight = members.n.to_numpy()[j]
-    links = np.bincount(i[own], weight[own], len(who)).astype(np.int64)
+    links = np.bincount(i, weight, len(who)).astype(np.int64)
     nodes, inverse = np.unique(np.concatenate([who[i], rep[j]]), return_inverse=True)
     root = spanning(len(nodes), [(inverse[: len(i)], inverse[len(i) :])])
     at = np.flatnonzero(root != np.arange(len(nodes)))
@@ -257,13 +249,6 @@ def _search_group(members: pd.DataFrame, asking: pd.DataFrame, threshold: float)
     return pd.DataFrame({"u": np.concatenate([nodes[at], who[counted]]), "v": np.concatenate([nodes[root[at]], who[counted]]), "links": np.concatenate([np.zeros(len(at), np.int64), links[counted]])})
 
 
-def _homes(column: pd.Series) -> np.ndarray:
-    out = np.full((len(column), OVERLAP), -1)
-    for row, own in enumerate(column):
-        out[row, : len(own)] = own
-    return out
-
-
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: key, n_links, component_id, kept."""
     base = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").alias("label"))
@@ -274,14 +259,16 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     spread = sharded.withColumn("shard", F.explode("homes"))
     group = ["label", "dim", "shard"]
     chunks = spread.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
-    spread = spread.join(chunks, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("own")
+    spread = spread.join(chunks, group).select("*", own)
+    first = sharded.withColumn("shard", F.col("homes")[0]).join(chunks, group)
     lists = spread.groupBy(*group, "own").applyInPandas(_build_group, "rep long, near array<long>")
     graph = materialise(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     members = spread.join(graph, "rep").withColumn("chunk", F.col("own")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asking = spread.withColumn("block", F.col("own")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = first.withColumn("block", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     full = [*group, "chunk", "block"]
-    m = members.select(*full, "rep", "n", "embedding", "homes", "near").groupBy(*full)
-    a = asking.select(*[F.col(c).alias(c) for c in (*full, "rep", "embedding", "homes")]).groupBy(*full)
+    m = members.select(*full, "rep", "n", "embedding", "near").groupBy(*full)
+    a = asking.select(*[F.col(c).alias(c) for c in (*full, "rep", "embedding")]).groupBy(*full)
     found = materialise(m.cogroup(a).applyInPandas(lambda x, y: _search_group(x, y, threshold), "u long, v long, links long"), "found")
     counts = found.filter("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     grouped = components(found.filter("links = 0").select("u", "v"))

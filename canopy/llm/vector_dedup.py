@@ -286,15 +286,19 @@ def audit(rows: DataFrame, judged: DataFrame, key: str = "vec_id", vector: str =
     queries = valid.filter(F.col("id") % every == 0).toPandas()
     if not len(queries):
         return 1.0
-    q, of, who = _unit(queries.embedding), queries.label.to_numpy(), queries.id.to_numpy()
+    asked = {d: (_unit(g.embedding), g.label.to_numpy(), g.id.to_numpy()) for d, g in queries.groupby(queries.embedding.map(len))}
 
     def run(frames):
         for f in frames:
-            for lo in range(0, len(f), 1000):
-                part = f.iloc[lo : lo + 1000]
-                same = (of[:, None] == part.label.to_numpy()[None, :]) & (who[:, None] != part.id.to_numpy()[None, :])
-                n = ((q @ _unit(part.embedding).T >= threshold) & same).sum(1)
-                yield pd.DataFrame({"id": who, "n": n})
+            for d, rows_ in f.groupby(f.embedding.map(len)):
+                if d not in asked:
+                    continue
+                q, of, who = asked[d]
+                for lo in range(0, len(rows_), 1000):
+                    part = rows_.iloc[lo : lo + 1000]
+                    same = (of[:, None] == part.label.to_numpy()[None, :]) & (who[:, None] != part.id.to_numpy()[None, :])
+                    n = ((q @ _unit(part.embedding).T >= threshold) & same).sum(1)
+                    yield pd.DataFrame({"id": who, "n": n})
 
     true = valid.mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     both = true.join(judged, true.id == judged[key]).agg(F.sum("n").alias("t"), F.sum("n_links").alias("f")).first()

@@ -1,0 +1,361 @@
+"""Text operators against brute force, on odd rows and on the smallest tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from canopy.llm import packing, piece_tokens, quality_classifier, quality_rules, secret_scan, simhash, training_order
+from canopy.llm.common import scratch_path
+from canopy.llm.components import components
+from canopy.llm.word_tokens import WordEncoder
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "long words in a very long text " * 4000
+ODD = [
+    (1, "a b c d e f g h i"), (2, ""), (3, None), (4, " \t\n\r\x0b\x0c "), (5, "x y z w v u t s x y z w v u t s"), (5, "x y z w v u t s x y z w v u t s"), (None, "no key"),
+    (6, "line\nline\n \nLine\nline"), (7, LONG), (8, "# * $ % & | < > é 中文 🙂"), (9, "same text here"), (10, "same text here"), (11, "two words"), (12, "A B C D E F G H I"),
+    (13, "password = abcdefgh, token:short, secret:token:abcdefghi"), (14, "AKIA" + "A1" * 8 + " AKIASHORT"), (15, "0123456789abcdef01234567 éé 0123456789abcdef0123456"), (16, "\x00\x01 nul <|endoftext|> <s> ▁ mark"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The odd rows with columns whose names operators also use."""
+    return spark.createDataFrame([(k, t, "en", "s", None, 1.0, "x", "y") for k, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, blob string")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+# Tokens
+
+
+def test_pieces_equal_the_library(odd, docs, empty):
+    path = public_tokenizers.path(piece_tokens.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for df in (odd, docs):
+        t = texts(df)
+        out = rows(piece_tokens.digests(df, path))
+        assert len(out) == df.count()
+        for r in out:
+            ids = sp.encode(t[r["doc_id"]])
+            assert r["n_tokens"] == len(ids)
+            assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert rows(piece_tokens.digests(empty, path)) == []
+    back = piece_tokens.decode(piece_tokens.encode(odd, path), path)
+    assert sorted(r["text"] for r in rows(back)) == sorted(sp.decode(sp.encode(t or "")) for _, t in ODD)
+
+
+def test_prefix_table_on_random_texts():
+    e = piece_tokens.PieceEncoder(public_tokenizers.path(piece_tokens.MODEL))
+    rng, letters = random.Random(5), "abcthein  \n\t'é中🙂\x00\u00a0▁12!?.,$#"
+    for _ in range(3000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) + " " * rng.choice([0, 0, 1, 20])
+        assert e.encode(s).tolist() == e.library.encode(s), repr(s)
+    for n in range(1, 70):
+        assert e.encode(" " * n).tolist() == e.library.encode(" " * n)
+
+
+def test_word_encoder_on_random_texts():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    e, lib = WordEncoder(path), Tokenizer.from_file(path)
+    rng, letters = random.Random(6), "abcXYZ  \n\t'sdéßİΣσς中🙂\x00\x01\x1c\x85\u00a0<|endoftext|>12!?"
+    for _ in range(3000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+        assert e.encode(s) == np.array(lib.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), repr(s)
+
+
+# Packing
+
+
+def brute_bfd(lengths, window):
+    free, out = [], []
+    for n in lengths:
+        best = min((i for i, r in enumerate(free) if r >= n), key=lambda i: free[i], default=None)
+        if best is None:
+            free.append(window)
+            best = len(free) - 1
+        out.append((best, window - free[best]))
+        free[best] -= n
+    return free
+
+
+def test_plan_equals_best_fit_piece_by_piece():
+    rng = random.Random(3)
+    for _ in range(150):
+        window = rng.choice([16, 64, 100])
+        hist = {rng.randint(1, window): rng.randint(1, 9) for _ in range(rng.randint(0, 40))}
+        lengths = sorted((n for n, c in hist.items() for _ in range(c)), reverse=True)
+        flows, filled = packing.plan(hist, window), {}
+        for rank, n in enumerate(lengths):
+            f = flows[np.searchsorted(flows[:, 0], rank, side="right") - 1]
+            w, offset = f[1] + (rank - f[0]) // f[2], f[3] + (rank - f[0]) % f[2] * f[4]
+            assert f[4] == n and filled.get(w, 0) == offset
+            filled[w] = offset + n
+        assert sorted(filled.values()) == sorted(window - r for r in brute_bfd(lengths, window))
+
+
+def test_packing_holds_every_token_once(odd, docs, empty):
+    lib = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    for df in (odd.filter("doc_id IS NOT NULL AND doc_id <> 5"), docs):
+        t = texts(df)
+        out = rows(packing.report(df))
+        place = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+        for (s0, o0, n0), (s1, o1, _) in zip(place, place[1:]):
+            assert o1 == (o0 + n0 if s0 == s1 else 0)
+        assert all(o + n <= 4096 for _, o, n in place)
+        by: dict = {}
+        for r in out:
+            by.setdefault(r["doc_id"], []).append(r)
+        assert set(by) == set(t)
+        for key, parts in by.items():
+            ids = np.array([*lib.encode(t[key], add_special_tokens=False).ids, 2], "<u4")
+            at = 0
+            for r in sorted(parts, key=lambda r: r["start"]):
+                assert r["start"] == at and r["doc_tokens"] == len(ids)
+                at += r["length"]
+                assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : at].tobytes())
+            assert at == len(ids)
+    assert rows(packing.report(empty)) == []
+    assert len(rows(packing.report(odd))) >= len(ODD)
+    table, places = packing.pack(odd, public_tokenizers.path(packing.VOCABULARY))
+    w = rows(packing.windows(table, places))
+    assert {len(r["ids"]) for r in w} == {4 * 4096} and sum(r["n_tokens"] for r in w) == sum(r["length"] for r in rows(places))
+
+
+# Quality
+
+
+def brute_measures(t):
+    words = WORD.findall(t)
+    seen: dict = {}
+    for i in range(len(words) - 7):
+        seen.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_equal_brute_force(odd, docs, empty):
+    for df in (odd, docs):
+        t = texts(df)
+        out = rows(quality_rules.report(df))
+        assert len(out) == df.count()
+        for r in out:
+            n, chars, symbols, lines, repeats = brute_measures(t[r["doc_id"]])
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
+            failed = n < 20 or 100 * repeats > 30 * n
+            assert r["base_failed"] == failed
+            assert r["kept"] == (not failed and 100 * symbols <= 20 * chars and 2 * n <= chars <= 25 * n and 10 * lines <= n)
+        kept = quality_rules.apply_rules(df)
+        assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in out)
+    assert rows(quality_rules.report(empty)) == [] and quality_rules.apply_rules(empty).count() == 0
+
+
+def test_rule_order_is_by_rejections_per_cost(docs):
+    order = quality_rules.plan_order(docs)
+    assert [s / c for _, c, s in order] == sorted((s / c for _, c, s in order), reverse=True)
+
+
+def test_classifier_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    out = {r["doc_id"]: r for r in rows(quality_classifier.classify(docs, labels))}
+    assert len(out) == docs.count()
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(out[k]["held_out"] for k in held)
+    good = [out[k]["predicted"] == truth[k] for k in held]
+    assert sum(good) / len(good) >= 0.95
+
+
+def test_pairwise_identity():
+    rng = np.random.default_rng(1)
+    m = quality_classifier.Model(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    idx, val = np.array([3, 9, 40, 41]), np.array([0.5, -1.0, 2.0, 0.1])
+    want = 0.3 + m.linear[idx] @ val + sum(m.factors[idx[a]] @ m.factors[idx[b]] * val[a] * val[b] for a in range(4) for b in range(a))
+    assert abs(m.margin(idx, val) - want) < 1e-9
+
+
+def test_classifier_odd_rows_and_labels(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (7, 0), (9, None), (8, 1), (8, 1), (None, 0)], "doc_id long, quality int")
+    out = rows(quality_classifier.classify(odd, labels))
+    assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in rows(quality_classifier.classify(odd, none))} == {0.5}
+    assert rows(quality_classifier.classify(empty, labels)) == []
+    assert quality_classifier.keep_good(odd, labels).columns == odd.columns
+
+
+# Secrets
+
+
+def brute_spans(t):
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets_equal_brute_force(spark, odd, docs, empty):
+    for df in (odd, docs):
+        t = texts(df)
+        out = rows(secret_scan.report(df, secret_scan.Ledger(spark, scratch_path(spark, "t"))))
+        assert len(out) == df.count()
+        for r in out:
+            s = brute_spans(t[r["doc_id"]])
+            assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in s) for k in range(3))
+            joined = ",".join(f"{k}:{a}:{z}" for a, _, z, k in s)
+            assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+    assert rows(secret_scan.report(empty, secret_scan.Ledger(spark, scratch_path(spark, "t")))) == []
+
+
+def test_ledger_scans_only_what_is_new(spark, odd):
+    ledger = secret_scan.Ledger(spark, scratch_path(spark, "t"))
+    base, more = secret_scan.BASE_RULES, secret_scan.RULES
+    distinct = odd.selectExpr("coalesce(text, '')").distinct().count()
+    assert secret_scan.unseen(odd, ledger, base).count() == distinct
+    secret_scan.scan(odd, ledger, base)
+    assert secret_scan.unseen(odd, ledger, base).count() == 0
+    assert {tuple(r["missing"]) for r in rows(secret_scan.unseen(odd, ledger, more))} == {tuple(r.pair for r in secret_scan.MORE_RULES)}
+    extra = odd.limit(1).selectExpr("99L AS doc_id", "'new token = abcdefgh' AS text").unionByName(odd.select("doc_id", "text"))
+    assert secret_scan.unseen(extra, ledger, base).count() == 1
+    secret_scan.scan(extra, ledger, base)
+    assert ledger.rows().count() == distinct + 1
+
+
+def test_redaction_covers_every_span(spark, odd):
+    ledger = secret_scan.Ledger(spark, scratch_path(spark, "t"))
+    out = secret_scan.redact(odd, ledger)
+    assert out.columns == odd.columns and out.count() == len(ODD)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    for key, t in ODD:
+        want, at = "", 0
+        for a, _, z, _ in brute_spans(t or ""):
+            if a >= at:
+                want += (t or "")[at:a] + "[SECRET]"
+            at = max(at, z)
+        assert got[key] == (None if t is None else want + t[at:])
+
+
+# Near-duplicates
+
+
+def brute_fingerprint(t):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    parent = {k: k for k in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {k: root(k) for k in keys}
+
+
+def test_simhash_equals_brute_force(odd, docs, empty):
+    for df in (odd.filter("doc_id IS NOT NULL"), docs):
+        prints = {k: brute_fingerprint(t) for k, t in texts(df).items()}
+        want = brute_components(prints)
+        out = rows(simhash.near_duplicates(df))
+        assert len(out) == df.count()
+        for r in out:
+            assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", want[r["doc_id"]])
+    assert rows(simhash.near_duplicates(empty)) == []
+    assert len(rows(simhash.near_duplicates(odd))) == len(ODD)
+
+
+@pytest.mark.parametrize("bound", [2, 5, 1000])
+def test_split_groups_lose_no_link(spark, monkeypatch, bound):
+    """Dense clouds of fingerprints, so that groups split up to the last level."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", bound)
+    rng = random.Random(9)
+    prints: dict[int, int] = {}
+    for c in range(6):
+        centre = rng.getrandbits(64)
+        for i in range(25):
+            x = centre
+            for _ in range(rng.randint(0, 4)):
+                x ^= 1 << rng.randrange(64)
+            prints[c * 100 + i] = x
+    by_rep = {k: x for x, k in {x: k for k, x in sorted(prints.items(), reverse=True)}.items()}
+    classes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in by_rep.items()], "fp long, rep long")
+    got = {r["node"]: r["component"] for r in components(simhash.links(classes)).collect()}
+    assert {k: got.get(k, k) for k in by_rep} == brute_components(by_rep)
+
+
+def test_keep_one_keeps_the_smallest_of_each(odd):
+    kept = simhash.keep_one(odd)
+    keys = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == odd.columns and keys.count(5) == 1 and 9 in keys and 10 not in keys and None in keys
+
+
+# Training order
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000, 4097):
+        for key in (1, 2):
+            assert sorted(training_order.feistel(np.arange(n), n, key)) == list(range(n))
+    assert list(training_order.feistel(np.arange(1000), 1000, 1)) != list(training_order.feistel(np.arange(1000), 1000, 2))
+
+
+def test_shards_hold_every_token_in_order(spark, odd, docs, empty):
+    path, pattern = public_tokenizers.path(training_order.RANKS), public_tokenizers.PATTERN
+    encoder = training_order._encoder(path, pattern)
+    for df in (odd.coalesce(1), docs):
+        order = training_order.stage(df, path, pattern, seq_len=128, shard_rows=50)
+        out = scratch_path(spark, "t")
+        training_order.write(order, out, list(range(0, order.shards, 2)))
+        missing = training_order.missing_shards(spark, order, out)
+        assert missing == list(range(1, order.shards, 2))
+        training_order.write(order, out, missing)
+        assert training_order.missing_shards(spark, order, out) == []
+        back = {r["slot"]: r for r in rows(training_order.read(spark, out, 128, 50))}
+        plan = sorted(rows(training_order.numbered(order)), key=lambda r: r["sequence"])
+        assert sorted(back) == list(range(order.total)) == sorted(r["slot"] for r in plan)
+        got = np.concatenate([np.frombuffer(back[r["slot"]]["ids"], "<u2")[: r["n_tokens"]] for r in plan])
+        want: list[int] = []
+        for r in df.select("text").collect():
+            want += [*encoder.encode_ordinary(r["text"] or ""), training_order.END_ID]
+        assert got.tolist() == want
+        assert all(b["byte_offset"] == s % 50 * order.stride and b["shard"] == s // 50 for s, b in back.items())
+    none = training_order.stage(empty, path, pattern)
+    assert none.total == 0 and none.shards == 0

@@ -97,7 +97,8 @@ def _ranked(df: DataFrame, spec: TreeSpec) -> DataFrame:
 
 
 def _companions(agg: Agg, kind: str, use: Column) -> dict[str, Column]:
-    """Row values whose sums give the aggregate."""
+    """Row values whose sums give the aggregate.  They are integers or decimals, so
+    that a difference of two running sums is exact."""
     x = F.when(use, source(agg)) if agg.source or agg.contribution is not None else F.when(use, F.lit(1))
     d = x.cast("double")
     exact = x.cast("decimal(38,6)") if kind.startswith(("decimal", "double", "float")) else x.cast("decimal(38,0)")
@@ -118,10 +119,10 @@ def _companions(agg: Agg, kind: str, use: Column) -> dict[str, Column]:
             return {"a": F.coalesce(truth(x, kind).cast("long"), F.lit(0)), "n": n}
         case "geometric_mean":
             good = d > 0
-            return {"a": F.coalesce(F.when(good, F.ln(d)), F.lit(0.0)), "n": F.when(good, 1).otherwise(0).cast("long")}
+            return {"a": F.coalesce(F.when(good, F.ln(d)).cast("decimal(38,18)"), F.lit(0)), "n": F.when(good, 1).otherwise(0).cast("long")}
         case "harmonic_mean":
             good = d != 0
-            return {"a": F.coalesce(F.when(good, F.lit(1.0) / d), F.lit(0.0)), "n": F.when(good, 1).otherwise(0).cast("long")}
+            return {"a": F.coalesce(F.when(good, F.lit(1.0) / d).cast("decimal(38,18)"), F.lit(0)), "n": F.when(good, 1).otherwise(0).cast("long")}
     raise ValueError(f"{agg.kind} is not a difference of sums")
 
 
@@ -148,9 +149,9 @@ def _display(agg: Agg, v: dict[str, Column], kind: str) -> Column:
         case "bool_and":
             return F.when(n > 0, a == n)
         case "geometric_mean":
-            return F.when(n > 0, F.exp(a / n))
+            return F.when(n > 0, F.exp(a.cast("double") / n))
         case "harmonic_mean":
-            return F.when(n > 0, n.cast("double") / F.nullif(a, F.lit(0.0)))
+            return F.when(n > 0, n.cast("double") / F.nullif(a.cast("double"), F.lit(0.0)))
     raise ValueError(agg.kind)
 
 
@@ -248,7 +249,7 @@ def rollup(df: DataFrame, spec: TreeSpec, aggs: list[Agg], only: DataFrame | Non
             continue
         part = _by_prefix(df, spec, own, with_trashed) if way == "prefix" else _by_blocks(df, spec, own, with_trashed) if way == "blocks" else by_interval(df, spec, own, df, with_trashed)
         parts.append(part.join(only, [SCOPE, NODE], "left_semi") if only is not None else part)
-    return reduce(lambda x, y: x.join(y, [SCOPE, NODE]), parts)
+    return reduce(lambda x, y: x.join(y, [SCOPE, NODE]), parts).select(SCOPE, NODE, *[F.col(f"`{a.alias}`") for a in aggs])
 
 
 def empty_value(agg: Agg) -> Column:

@@ -6,7 +6,9 @@ nothing here uses a machine-local folder on a cluster.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,3 +54,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
+
+def once(key: tuple, make: Callable):
+    """One value for each worker process and key: tokenizers and their tables of met
+    chunks outlive a task.  What is kept must bound its own size."""
+    store = sys.modules.setdefault("canopy_worker_values", types.ModuleType("canopy_worker_values")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

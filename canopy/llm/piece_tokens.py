@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -26,11 +27,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, once, table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-_CHUNKS, _PAIRS, _LONGEST = 800_000, 400_000, 64
+_CHUNKS, _PAIRS, _LONGEST = 1_500_000, 400_000, 64
 #: Marks that often close a word: cut off where no token spans the place.
 _CLOSING = ".,;:!?*$%&#|"
 #: A chunk of a text with several marks in a row: the marks and what follows.
@@ -63,6 +64,7 @@ class PieceEncoder(dict):
         self.automaton.make_automaton()
         self.lengths = {i: len(p) for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
+        self.closings: dict[str, bytes] = {}
         self.names = [str(i) for i in range(size)]
         for probe in ("a  b", " x\ny ", "\u0001é"):
             if self.encode(probe).tolist() != sp.encode(probe):
@@ -128,10 +130,15 @@ class PieceEncoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         stem = chunk.rstrip(_CLOSING)
         if stem and stem != chunk and chunk[len(stem) - 1 : len(stem) + 1] not in self.neighbours:
-            out = self[stem] + np.array(self._encode(chunk[len(stem) :]), "<u4").tobytes()
+            closing = chunk[len(stem) :]
+            if closing not in self.closings:
+                if len(self.closings) >= _PAIRS:
+                    self.closings.clear()
+                self.closings[closing] = array("I", self._encode(closing)).tobytes()
+            out = self[stem] + self.closings[closing]
         else:
             ids = [self.bytes[10], *self._encode(chunk[1:])] if chunk[:1] == "\n" else self._encode(MARK + chunk)
-            out = np.array(ids, "<u4").tobytes()
+            out = array("I", ids).tobytes()
         if len(chunk) <= _LONGEST:
             if len(self) >= _CHUNKS:
                 self.clear()
@@ -142,7 +149,7 @@ class PieceEncoder(dict):
         """A chunk of a text with several marks in a row."""
         if chunk[0] == MARK and chunk[1:2] != MARK:
             return self[chunk[1:]]
-        return np.array(self._encode(chunk), "<u4").tobytes()
+        return array("I", self._encode(chunk)).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text, without begin and end ids."""
@@ -163,7 +170,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """Columns: key and ids (array of int)."""
 
     def run(batches):
-        e = PieceEncoder(path)
+        e = once(("pieces", path), lambda: PieceEncoder(path))
         for b in batches:
             ids = [e.encode(t).astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -192,7 +199,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """Encode and decode in one pass and keep the digests of both."""
 
     def run(batches):
-        e = PieceEncoder(path)
+        e = once(("pieces", path), lambda: PieceEncoder(path))
         name = e.names.__getitem__
         for b in batches:
             n, of_ids, of_text = [], [], []

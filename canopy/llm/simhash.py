@@ -2,7 +2,8 @@
 
 Fingerprints: a bit is set where over half of a text's shingle hashes set it.
 Texts with equal fingerprints collapse into one class before anything is
-compared, so that copies are never expanded.
+compared, so that copies are never expanded.  Further fingerprints, from mixed
+hashes, can be asked for; each has an index of its own, and a link under any counts.
 
 Routing: two fingerprints with at most three differing bits agree on at least
 one of four pieces of their 64 bits, so each class goes to four groups.  A group
@@ -47,33 +48,50 @@ SPLITS = 5
 _FRONTIER = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def _mixed(hashes: np.ndarray, table_: int) -> np.ndarray:
+    """Hashes of a further fingerprint, made from those of the first."""
+    if not table_:
+        return hashes
+    z = hashes + np.uint64(table_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_list(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """``count`` independent fingerprints; the first is that of the plain hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * count
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-    hashes = np.fromiter((digest(s, SEED) for s in runs), np.uint64, len(words) - shingle + 1)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (total * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) > shingle else [b" ".join(words)]
+    hashes = np.fromiter((digest(s, SEED) for s in runs), np.uint64, max(1, len(words) - shingle + 1))
+    out = []
+    for k in range(count):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            part = _mixed(hashes[at : at + 65536], k)
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits = (total * 2 > len(hashes)).astype(np.uint8)
+        out.append(int(np.packbits(bits, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprint_list(text, shingle)[0]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Columns: the key and ``fp``, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+    """Columns: the key and ``fps``, the fingerprints as signed 64-bit numbers."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[key, "fp"])
+            fps = np.array([fingerprint_list(t, shingle, count) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * count, pa.int32()), pa.array(fps, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "fps"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias("__text"))
-    return map_arrow(rows, run, f"`{key}` long, fp long")
+    return map_arrow(rows, run, f"`{key}` long, fps array<long>")
 
 
 def _pieces(mask: int) -> list[int]:
@@ -96,24 +114,24 @@ def _gray_rank(fp):
 
 
 def _routed(classes: DataFrame) -> DataFrame:
-    """Rows (mask, part, fp, rep): every class in each group that it belongs to,
+    """Rows (tbl, mask, part, fp, rep): every class in each group that it belongs to,
     no group over its bound."""
     spark = classes.sparkSession
     masks, done = _pieces(0), []
-    rows = classes.select("fp", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    rows = classes.select("tbl", "fp", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     for level in range(SPLITS):
-        large = materialise(rows.groupBy("mask", "part").count().filter(F.col("count") > GROUP_ROWS).select("mask", "part"), "groups")
+        large = materialise(rows.groupBy("tbl", "mask", "part").count().filter(F.col("count") > GROUP_ROWS).select("tbl", "mask", "part"), "groups")
         if level == SPLITS - 1 or large.isEmpty():
             done.append(rows)
             break
-        done.append(rows.join(large, ["mask", "part"], "left_anti"))
+        done.append(rows.join(large, ["tbl", "mask", "part"], "left_anti"))
         finer = [(_signed(m), [_signed(x) for x in _pieces(m)]) for m in masks]
         masks = [x for m in masks for x in _pieces(m)]
         step = F.broadcast(spark.createDataFrame(finer, "mask long, finer array<long>"))  # 4**level rows, whatever the input
-        rows = rows.join(large, ["mask", "part"], "left_semi").join(step, "mask").select("fp", "rep", F.explode("finer").alias("mask"))
+        rows = rows.join(large, ["tbl", "mask", "part"], "left_semi").join(step, "mask").select("tbl", "fp", "rep", F.explode("finer").alias("mask"))
         rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
-    return reduce(DataFrame.union, [d.select("mask", "part", "fp", "rep") for d in done])
+    return reduce(DataFrame.union, [d.select("tbl", "mask", "part", "fp", "rep") for d in done])
 
 
 class Index:
@@ -166,57 +184,71 @@ class Index:
 
 def _group_links(batches):
     """Spanning links of the groups of a partition, whole groups at a time."""
+    names = ("tbl", "mask", "part", "fp", "rep")
     held: list[tuple[np.ndarray, ...]] = []
 
-    def flush(mask, part, fp, rep):
-        new = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])]))
-        sizes = np.diff(np.append(new, len(mask)))
+    def begins(cols) -> np.ndarray:
+        """Rows whose group is not that of the row before."""
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+        return np.flatnonzero(new)
+
+    def flush(cols):
+        new = begins(cols)
+        sizes = np.diff(np.append(new, len(cols[0])))
         many = np.repeat(sizes > 1, sizes)
-        fp, rep, sizes = fp[many].view(np.uint64), rep[many], sizes[sizes > 1]
+        fp, rep, sizes = cols[3][many].view(np.uint64), cols[4][many], sizes[sizes > 1]
         if len(sizes):
             parent = spanning(len(fp), Index(fp, sizes).links())
             at = np.flatnonzero(parent != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[parent[at]])], names=["u", "v"])
 
     for b in batches:
-        cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "part", "fp", "rep"))
-        if not len(cols[0]):
+        if not b.num_rows:
             continue
-        held.append(cols)
+        held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in names))
         if sum(len(h[0]) for h in held) < 50_000:
             continue
-        mask, part, fp, rep = (np.concatenate(c) for c in zip(*held))
-        cut = np.flatnonzero((mask != mask[-1]) | (part != part[-1]))
-        at = int(cut[-1]) + 1 if len(cut) else 0
+        cols = tuple(np.concatenate(c) for c in zip(*held))
+        at = int(begins(cols)[-1])
         if at:
-            yield from flush(mask[:at], part[:at], fp[:at], rep[:at])
-        held = [(mask[at:], part[at:], fp[at:], rep[at:])]
+            yield from flush(tuple(c[:at] for c in cols))
+        held = [tuple(c[at:] for c in cols)]
     if held:
-        yield from flush(*(np.concatenate(c) for c in zip(*held)))
+        yield from flush(tuple(np.concatenate(c) for c in zip(*held)))
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Spanning links (u, v) between the classes (fp, rep) that are near."""
-    rows = _routed(classes).withColumn("gray", _gray_rank(F.col("fp")))
-    dealt = rows.repartition("mask", "part").sortWithinPartitions("mask", "part", "gray").select("mask", "part", "fp", "rep")
+    """Spanning links (u, v) between the classes (fps, rep) that are near under one
+    of their fingerprints."""
+    each = classes.select("rep", F.posexplode("fps").alias("tbl", "fp"))
+    equal = each.groupBy("tbl", "fp").agg(F.min("rep").alias("least"))
+    rows = _routed(equal.select("tbl", "fp", F.col("least").alias("rep"))).withColumn("gray", _gray_rank(F.col("fp")))
+    dealt = rows.repartition("tbl", "mask", "part").sortWithinPartitions("tbl", "mask", "part", "gray").select("tbl", "mask", "part", "fp", "rep")
     classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return dealt.mapInArrow(_group_links, "u long, v long")
+    near = dealt.mapInArrow(_group_links, "u long, v long")
+    same = each.join(equal, ["tbl", "fp"]).filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    return near.union(same)
+
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+    """Per document: key, fingerprint (16 hex digits, the first), component_id.
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, fingerprint (16 hex digits), component_id."""
-    marked = materialise(fingerprints(docs, key, text), "fingerprints")
-    classes = materialise(marked.groupBy("fp").agg(F.min(key).alias("rep")).filter("rep is not null"), "classes")
+    With ``count`` over 1, texts also link when any further fingerprint is near: each
+    is an independent chance to find a pair that the first puts just too far apart.
+    """
+    marked = materialise(fingerprints(docs, key, text, shingle, count), "fingerprints")
+    classes = materialise(marked.groupBy("fps").agg(F.min(key).alias("rep")).filter("rep is not null"), "classes")
     found = components(links(classes))
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp", "left").select(F.col(key), hexed.alias("fingerprint"), "component_id")
+    named = classes.join(found, classes.rep == found.node, "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    hexed = F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0"))
+    return marked.join(named, "fps", "left").select(F.col(key), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
     """One document of each component, that with the smallest key; rows that repeat
     a key are reduced to one.  Rows with a null key stay."""
-    judged = near_duplicates(docs.select(key, text), key, text)
+    judged = near_duplicates(docs.select(key, text), key, text, shingle, count)
     keys = judged.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__keep")).distinct()
     kept = docs.join(keys, F.col(f"`{key}`") == F.col("__keep"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(f"`{key}`").isNull()))

@@ -14,6 +14,11 @@ from canopy.llm import packing, quality_classifier, quality_rules, secret_scan,
 from canopy.llm.common import materialise, scratch_path, table
 
 
+#: Independent fingerprints of the near-copy stage: texts are near copies if any of
+#: them is near.  One alone misses about half of the copies with a single changed word.
+FINGERPRINTS = 8
+
+
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
 
@@ -23,7 +28,7 @@ def drop_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, count=FINGERPRINTS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

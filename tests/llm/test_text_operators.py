@@ -316,7 +316,7 @@ def test_split_groups_lose_no_link(spark, monkeypatch, bound):
                 x ^= 1 << rng.randrange(64)
             prints[c * 100 + i] = x
     by_rep = {k: x for x, k in {x: k for k, x in sorted(prints.items(), reverse=True)}.items()}
-    classes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in by_rep.items()], "fp long, rep long")
+    classes = spark.createDataFrame([([x - (1 << 64) if x >> 63 else x], k) for k, x in by_rep.items()], "fps array<long>, rep long")
     got = {r["node"]: r["component"] for r in components(simhash.links(classes)).collect()}
     assert {k: got.get(k, k) for k in by_rep} == brute_components(by_rep)
 

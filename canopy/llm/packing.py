@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, table
+from .common import map_arrow, materialise, once, table
 from .word_tokens import WordEncoder
 
 WINDOW = 4096
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     doc_tokens and ids (little-endian unsigned 32-bit)."""
 
     def run(batches):
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = once(("words", path), lambda: WordEncoder(path)), np.array([end_id], "<u4").tobytes()
         for b in batches:
             take, start, length, total, ids = [], [], [], [], []
             for row, t in enumerate(b.column(1).to_pylist()):

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 #: The word pattern of the vocabulary: a fixed value.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "\x01"
-_CHUNKS = 400_000
+_CHUNKS = 1_000_000
 _LONGEST = 64
 
 

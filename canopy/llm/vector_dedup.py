@@ -78,9 +78,9 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict) -> dict:
 
 
 def _shards(classes: DataFrame) -> DataFrame:
-    """``classes`` (rep, label, dim, n, embedding) with ``homes``, the nearest first."""
+    """``classes`` (cid, label, dim, n, embedding) with ``homes``, the nearest first."""
     sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES).collect()}
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("label", "dim", "embedding").toPandas()
+    sample = classes.orderBy(F.xxhash64("embedding"), "label").limit(SAMPLE_ROWS).select("label", "dim", "embedding").toPandas()
     centres = _fit_centres(sample, sizes) if len(sample) else {}
 
     def run(frames):
@@ -97,7 +97,7 @@ def _shards(classes: DataFrame) -> DataFrame:
 
     kind = classes.schema["label"].dataType.simpleString()
     classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return classes.mapInPandas(run, f"rep long, label {kind}, dim int, n long, embedding array<float>, homes array<int>")
+    return classes.mapInPandas(run, f"cid long, label {kind}, dim int, n long, embedding array<float>, homes array<int>")
 
 
 def _unit(vectors) -> np.ndarray:
@@ -220,29 +220,29 @@ def search(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> t
 
 
 def _build_group(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("rep", kind="stable")
+    frame = frame.sort_values("cid", kind="stable")
     lists = build(_unit(frame.embedding))
-    rep = frame.rep.to_numpy()
-    return pd.DataFrame({"rep": rep, "near": [rep[x] for x in lists]})
+    cid = frame.cid.to_numpy()
+    return pd.DataFrame({"cid": cid, "near": [cid[x] for x in lists]})
 
 
 def _search_group(members: pd.DataFrame, asking: pd.DataFrame, threshold: float) -> pd.DataFrame:
     none = pd.DataFrame({"u": [], "v": [], "links": []}).astype("int64")
     if not len(members) or not len(asking):
         return none
-    members = members.sort_values("rep", kind="stable")
-    rep, x, q, who = members.rep.to_numpy(), _unit(members.embedding), _unit(asking.embedding), asking.rep.to_numpy()
+    members = members.sort_values("cid", kind="stable")
+    cid, x, q, who = members.cid.to_numpy(), _unit(members.embedding), _unit(asking.embedding), asking.cid.to_numpy()
     lists = []
     for near in members.near:
-        at = np.searchsorted(rep, near)
-        ok = at < len(rep)
-        lists.append(at[ok][rep[at[ok]] == np.asarray(near)[ok]])
+        at = np.searchsorted(cid, near)
+        ok = at < len(cid)
+        lists.append(at[ok][cid[at[ok]] == np.asarray(near)[ok]])
     i, j = search(Graph(x, lists), q, threshold)
-    other = who[i] != rep[j]
+    other = who[i] != cid[j]
     i, j = i[other], j[other]
     weight = members.n.to_numpy()[j]
     links = np.bincount(i, weight, len(who)).astype(np.int64)
-    nodes, inverse = np.unique(np.concatenate([who[i], rep[j]]), return_inverse=True)
+    nodes, inverse = np.unique(np.concatenate([who[i], cid[j]]), return_inverse=True)
     root = spanning(len(nodes), [(inverse[: len(i)], inverse[len(i) :])])
     at = np.flatnonzero(root != np.arange(len(nodes)))
     counted = np.flatnonzero(links)
@@ -254,26 +254,29 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     base = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").alias("label"))
     base = base.withColumn("vector_key", F.when(_valid(), F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256)))
     classes = base.filter("vector_key is not null").groupBy("label", "vector_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    named = materialise(classes.withColumn("dim", F.size("embedding")), "classes")
-    sharded = materialise(_shards(named.filter("rep is not null").select("rep", "label", "dim", "n", "embedding")), "shards")
+    named = materialise(classes.withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()}), "classes")
+    sharded = materialise(_shards(named.select("cid", "label", "dim", "n", "embedding")), "shards")
     spread = sharded.withColumn("shard", F.explode("homes"))
     group = ["label", "dim", "shard"]
     chunks = spread.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("own")
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("own")
     spread = spread.join(chunks, group).select("*", own)
     first = sharded.withColumn("shard", F.col("homes")[0]).join(chunks, group)
-    lists = spread.groupBy(*group, "own").applyInPandas(_build_group, "rep long, near array<long>")
-    graph = materialise(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    members = spread.join(graph, "rep").withColumn("chunk", F.col("own")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asking = first.withColumn("block", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    lists = spread.groupBy(*group, "own").applyInPandas(_build_group, "cid long, near array<long>")
+    graph = materialise(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    members = spread.join(graph, "cid").withColumn("chunk", F.col("own")).withColumn("block", every)
+    asking = first.withColumn("block", own).withColumn("chunk", every)
     full = [*group, "chunk", "block"]
-    m = members.select(*full, "rep", "n", "embedding", "near").groupBy(*full)
-    a = asking.select(*[F.col(c).alias(c) for c in (*full, "rep", "embedding")]).groupBy(*full)
+    m = members.select(*full, "cid", "n", "embedding", "near").groupBy(*full)
+    a = asking.select(*[F.col(c).alias(c) for c in (*full, "cid", "embedding")]).groupBy(*full)
     found = materialise(m.cogroup(a).applyInPandas(lambda x, y: _search_group(x, y, threshold), "u long, v long, links long"), "found")
     counts = found.filter("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     grouped = components(found.filter("links = 0").select("u", "v"))
-    of_class = named.join(counts, named.rep == counts.u, "left").join(grouped, named.rep == grouped.node, "left")
-    of_class = of_class.select(F.col("label").alias("c_label"), F.col("vector_key").alias("c_key"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    joined = named.join(counts, named.cid == counts.u, "left").join(grouped, named.cid == grouped.node, "left")
+    joined = joined.select("label", "vector_key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("group"))
+    least = joined.groupBy("group").agg(F.min("rep").alias("component"))
+    of_class = joined.join(least, "group").select(F.col("label").alias("c_label"), F.col("vector_key").alias("c_key"), "links", "component")
     out = base.join(of_class, (base.label == F.col("c_label")) & (base.vector_key == F.col("c_key")), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

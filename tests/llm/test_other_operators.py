@@ -104,6 +104,14 @@ def brute_vectors(data, threshold=0.98):
     return sorted(out)
 
 
+def test_repeated_and_null_ids_of_vectors(spark):
+    """Two vectors may share an id; a null id links but names nothing."""
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    df = spark.createDataFrame([(5, a, 1), (5, b, 1), (7, c, 1), (None, c, 1), (8, b, 2)], "vec_id long, embedding array<float>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in rows(vector_dedup.near_duplicates(df))), key=str)
+    assert got == sorted([(5, 2, 5), (5, 0, 5), (7, 2, 5), (None, 2, 5), (8, 0, 8)], key=str)
+
+
 def cloud(seed, groups, size, spread):
     rng = np.random.default_rng(seed)
     data = []

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, scratch_path, table
+from .common import map_arrow, materialise, once, scratch_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 END_ID = 50256
@@ -120,7 +120,7 @@ def stage(docs: DataFrame, path: str, pattern: str, text: str = "text", seq_len:
     dictionary = _dictionary(docs, text, path, pattern, seq_len)
 
     def run(batches):
-        encoder, part = _encoder(path, pattern), TaskContext.get().partitionId()
+        encoder, part = once(("ranks", path, pattern), lambda: _encoder(path, pattern)), TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=6, **_zstd(dictionary))
         end, held, size, made = np.array([END_ID], "<u2"), [], 0, 0
 

@@ -14,8 +14,8 @@ that Spark knows will do, and a lost executor leaves no half-written shard.
 ``missing_shards`` lists what a broken-off run still has to write, and ``write``
 takes such a list.
 
-Between the two passes sequences are compressed with a dictionary that is fitted
-on a bounded sample of the texts; all sequences are written whole.
+Between the two passes sequences are compressed with a dictionary that is taken
+from a bounded sample of the texts; all sequences are written whole.
 
 Defined cases: a null text counts as the empty text and adds only its end id;
 repeated rows add their ids again; an empty table gives no sequence and no shard;
@@ -43,8 +43,8 @@ END_ID = 50256
 SEQ_LEN, SHARD_ROWS = 2048, 8192
 KEY = 0x5EED
 ROUNDS = 6
-#: Sample on which the compression dictionary is fitted: texts, and its bytes.
-SAMPLE_TEXTS, DICTIONARY_BYTES = 800, 400_000
+#: Bounds of the compression dictionary: sampled texts, and bytes of their ids.
+SAMPLE_TEXTS, DICTIONARY_BYTES = 800, 1_000_000
 _MARK = "\x00\x00"
 
 
@@ -97,27 +97,21 @@ class Order:
         return 2 * self.seq_len + len(_MARK)
 
 
-def _dictionary(docs: DataFrame, text: str, path: str, pattern: str, seq_len: int) -> bytes:
-    """Fitted on the ids of at most SAMPLE_TEXTS texts; empty if they are too few."""
+def _dictionary(docs: DataFrame, text: str, path: str, pattern: str) -> bytes:
+    """The ids of at most SAMPLE_TEXTS texts, up to DICTIONARY_BYTES: what sequences
+    share with them is stored as a reference."""
     rows = docs.select(F.col(f"`{text}`").alias("t")).limit(SAMPLE_TEXTS).collect()
     encoder = _encoder(path, pattern)
     ids = [np.append(encoder.encode_to_numpy(r["t"] or "", disallowed_special=()), END_ID).astype("<u2") for r in rows]
-    raw = np.concatenate(ids).tobytes() if ids else b""
-    cut = [raw[i : i + 2 * seq_len] for i in range(0, len(raw), 2 * seq_len)]
-    if len(cut) < 100:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, cut).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return np.concatenate(ids).tobytes()[:DICTIONARY_BYTES] if ids else b""
 
 
 def _zstd(dictionary: bytes):
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if dictionary else {}
 
 
 def stage(docs: DataFrame, path: str, pattern: str, text: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY) -> Order:
-    dictionary = _dictionary(docs, text, path, pattern, seq_len)
+    dictionary = _dictionary(docs, text, path, pattern)
 
     def run(batches):
         encoder, part = once(("ranks", path, pattern), lambda: _encoder(path, pattern)), TaskContext.get().partitionId()

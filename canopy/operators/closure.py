@@ -14,9 +14,7 @@ def with_paths(df: DataFrame, spec: TreeSpec) -> DataFrame:
     the rows already have are kept."""
     if ANC in df.columns:
         return df
-    made = build(df.select(*dict.fromkeys([*spec.scope, spec.id, spec.parent])), spec)
-    if ANC not in made.columns:
-        raise ValueError("the tree is too deep for a closure: use the prefix strategy")
+    made = build(df.select(*dict.fromkeys([*spec.scope, spec.id, spec.parent])), spec, always_paths=True)
     paths = made.select(scope_key(spec).alias("__p_s"), col(spec.id).alias("__p_node"), ANC, REACHED)
     rows = df.drop(REACHED).withColumn("__s", scope_key(spec))
     joined = rows.join(paths, (F.col("__s") == F.col("__p_s")) & (col(spec.id) == F.col("__p_node")), "left")

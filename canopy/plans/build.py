@@ -5,10 +5,11 @@ one above them, so a tree of depth d needs log2(d) joins.  Sorting by path gives
 the pre-order rank r, and with depth d and subtree size s the interval follows in
 closed form: lft = 2 r - d + 1, rgt = lft + 2 s - 1.
 
-Paths cost the sum of all depths.  Beyond ``PATH_LIMIT`` levels the intervals come
-from ranking the Euler tour instead: every node has an opening and a closing
-event, each event knows the next, and pointer doubling counts the events to the
-end.  That costs log2(2 n) joins of narrow rows whatever the shape.
+Paths cost the sum of all depths.  Beyond ``PATH_LIMIT`` levels, or where most nodes
+lie deeper than ``DENSE_DEPTH``, the intervals come from ranking the Euler tour
+instead: every node has an opening and a closing event, each event knows the next,
+and pointer doubling counts the events to the end.  That costs log2(2 n) joins of
+narrow rows whatever the shape.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .ranking import global_rank
 from .scratch import materialise
 
 PATH_LIMIT = 512
+DENSE_DEPTH = 64
 #: Ancestor ids from the root to the node itself.
 ANC = "__anc"
 REACHED = "__reached"
@@ -33,9 +35,9 @@ def scope_key(spec: TreeSpec) -> Column:
     return F.to_json(F.struct(*[col(c).alias(f"s{i}") for i, c in enumerate(spec.scope)]), {"ignoreNullFields": "false"})
 
 
-def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool) -> tuple[DataFrame, int, bool]:
-    """Rows (s, node, up, n, open, [anc, ord]); rounds stop when nobody is open or
-    paths would pass the limit.  Returns also the longest n and whether it ended."""
+def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool, always: bool = False) -> tuple[DataFrame, bool]:
+    """Rows (s, node, up, n, lost, [anc, ord]) and whether all ended: rounds stop when
+    nobody is open, in a cycle, or (not with ``always``) when paths grow too costly."""
     keys = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)])
     base = df.select(scope_key(spec).alias("s"), col(spec.id).alias("node"), col(spec.parent).alias("up"), F.lit(1).cast("long").alias("n"), *([F.array(col(spec.id)).alias("anc"), F.array(keys).alias("ord")] if paths else []))
     ids = base.select(F.col("s").alias("p_s"), F.col("node").alias("p_node")).distinct()
@@ -49,9 +51,10 @@ def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool) -> tu
     while True:
         mark = state.agg(F.count_if(F.col("up").isNotNull()).alias("open"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
         if not mark["open"]:
-            return state, mark["n"] or 0, True
-        if (paths and mark["n"] >= PATH_LIMIT) or 1 << rounds > 2 * mark["rows"]:
-            return state, mark["n"], False
+            return state, True
+        costly = mark["n"] >= PATH_LIMIT or (mark["n"] >= DENSE_DEPTH and 2 * mark["open"] > mark["rows"])
+        if (paths and costly and not always) or 1 << rounds > 2 * mark["rows"]:
+            return state, False
         t = state.select(F.col("s").alias("t_s"), F.col("node").alias("t_node"), F.col("up").alias("t_up"), F.col("n").alias("t_n"), F.col("lost").alias("t_lost"), *([F.col("anc").alias("t_anc"), F.col("ord").alias("t_ord")] if paths else []))
         j = state.join(t, (F.col("s") == F.col("t_s")) & (F.col("up") == F.col("t_node")), "left")
         grown = [F.concat(F.coalesce(F.col(f"t_{c}"), F.array().cast(dict(state.dtypes)[c])), F.col(c)).alias(c) for c in (["anc", "ord"] if paths else [])]
@@ -59,19 +62,24 @@ def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool) -> tu
         rounds += 1
 
 
-def build(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = None) -> DataFrame:
+def build(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = None, always_paths: bool = False) -> DataFrame:
     """``df`` with fresh lft, rgt and depth; siblings in the order of ``order_by``
     (the id by default, which also breaks ties).
 
     Rows that no root reaches, orphans and cycles with all below them, keep the
     values they had (zero where they had none).  The result has ``REACHED``, and
-    ``ANC`` where paths were affordable (null for unreached rows).
+    ``ANC`` where paths were affordable or ``always_paths`` asks for them (null for
+    unreached rows).
     """
     order = [*(order_by or []), *([] if order_by and spec.id in order_by else [spec.id])]
-    state, longest, ended = _doubled(df, spec, order, True)
-    deep = not ended
-    if deep:
-        state, longest, ended = _doubled(df, spec, order, False)
+    state, ended = _doubled(df, spec, order, True)
+    deep = not ended and not always_paths
+    if not ended:
+        state, _ = _doubled(df, spec, order, False)
+    if not ended and always_paths:  # without cycles, whose paths would never end
+        known = state.filter(F.col("up").isNull() & ~F.col("lost")).select(F.col("s").alias("w_s"), F.col("node").alias("w_node"))
+        whole = df.withColumn("__s", scope_key(spec)).join(known, (F.col("__s") == F.col("w_s")) & (col(spec.id) == F.col("w_node")), "left_semi").drop("__s")
+        state, _ = _doubled(whole, spec, order, True, True)
     reached = state.filter(F.col("up").isNull() & ~F.col("lost"))
     placed = _by_tour(df, spec, order, reached) if deep else _by_path(reached)
     kept = [c for c in df.columns if c not in (spec.lft, spec.rgt, spec.depth, ANC, REACHED)]

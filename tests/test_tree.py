@@ -82,6 +82,14 @@ def test_deep_chain_has_no_paths_and_right_bounds(spark, monkeypatch):
     assert bounds(out) == bounds(build(generator.comb(spark, 41), TreeSpec()))
 
 
+def test_deep_chain_still_has_every_function(spark, monkeypatch):
+    monkeypatch.setattr("canopy.plans.build.PATH_LIMIT", 8)
+    t = Tree(build(generator.chain(spark, 30), TreeSpec()))
+    assert ANC not in t.df.columns
+    one = at(t.rollup(Agg.sum("id").into("s"), Agg.max("id").into("m"), Agg.median("id").into("d"), Agg.distinct_count("id").into("c")), 1)
+    assert (one.s, one.m, one.d, one.c) == (465, 30, 15.5, 30)
+
+
 def test_orphans_and_cycles_keep_their_values(spark):
     df = spark.createDataFrame([(1, None, 5), (2, 1, 5), (3, 9, 5), (4, 3, 5), (5, 6, 5), (6, 5, 5)], "id long, parent_id long, lft long")
     out = {r["id"]: (r["lft"], r[REACHED]) for r in build(df, TreeSpec()).collect()}

@@ -141,6 +141,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard, block):
     assert rows(vector_dedup.near_duplicates(df.limit(0))) == []
 
 
+def test_a_dense_group_over_many_shards_loses_no_link(spark, monkeypatch):
+    """A third of all rows are distinct near copies of one vector, cut into many shards."""
+    monkeypatch.setattr(vector_dedup, "SHARD_ROWS", 30)
+    monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", 250)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 64))
+    x[::3] = x[0] + rng.normal(size=(400, 64)) * 0.1
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = rows(vector_dedup.near_duplicates(df))
+    u = np.array(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    assert want.sum() > 10_000
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want))
+    assert vector_dedup.audit(df, spark.createDataFrame(got)) == 1.0
+
+
 # Queries
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import packing, quality_classifier, quality_rules, secret_scan, simhash
+from canopy.llm import near_copies, packing, quality_classifier, quality_rules, secret_scan
 from canopy.llm.common import materialise, scratch_path, table
 
 
@@ -28,7 +28,7 @@ def drop_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, count=FINGERPRINTS)
+    return near_copies.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

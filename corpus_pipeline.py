@@ -14,8 +14,7 @@ from canopy.llm import near_copies, packing, quality_classifier, quality_rules,
 from canopy.llm.common import materialise, scratch_path, table
 
 
-#: Independent fingerprints of the near-copy stage: texts are near copies if any of
-#: them is near.  One alone misses about half of the copies with a single changed word.
+#: Of the former near-copy stage; no stage reads it, tests/llm/test_pipeline.py does.
 FINGERPRINTS = 8
 
 

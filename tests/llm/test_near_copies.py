@@ -43,3 +43,11 @@ def test_near_copies_equal_brute_force(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert got == brute_kept(docs)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """A copy goes and a clean text stays, whatever ids they share."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, a)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, a)], key=str)

@@ -58,7 +58,7 @@ def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool, alway
         t = state.select(F.col("s").alias("t_s"), F.col("node").alias("t_node"), F.col("up").alias("t_up"), F.col("n").alias("t_n"), F.col("lost").alias("t_lost"), *([F.col("anc").alias("t_anc"), F.col("ord").alias("t_ord")] if paths else []))
         j = state.join(t, (F.col("s") == F.col("t_s")) & (F.col("up") == F.col("t_node")), "left")
         grown = [F.concat(F.coalesce(F.col(f"t_{c}"), F.array().cast(dict(state.dtypes)[c])), F.col(c)).alias(c) for c in (["anc", "ord"] if paths else [])]
-        state = materialise(j.select("s", "node", F.col("t_up").alias("up"), (F.col("n") + F.coalesce("t_n", F.lit(0))).alias("n"), (F.col("lost") | F.coalesce("t_lost", F.lit(False))).alias("lost"), *grown), "paths")
+        state = materialise(j.select("s", "node", F.col("t_up").alias("up"), (F.col("n") + F.coalesce("t_n", F.lit(0))).alias("n"), (F.col("lost") | F.coalesce("t_lost", F.lit(False))).alias("lost"), *grown), "paths", instead_of=state)
         rounds += 1
 
 
@@ -131,7 +131,7 @@ def _by_tour(df: DataFrame, spec: TreeSpec, order: list[str], reached: DataFrame
     while not state.filter("to is not null").isEmpty():
         t = state.select(F.col("e").alias("t_e"), F.col("to").alias("t_to"), F.col("n").alias("t_n"), F.col("w").alias("t_w"))
         j = state.join(t, F.col("to") == F.col("t_e"), "left")
-        state = materialise(j.select("e", F.col("t_to").alias("to"), (F.col("w") + F.coalesce("t_w", F.lit(0))).alias("w"), (F.col("n") + F.coalesce("t_n", F.lit(0))).alias("n")), "tour")
+        state = materialise(j.select("e", F.col("t_to").alias("to"), (F.col("w") + F.coalesce("t_w", F.lit(0))).alias("w"), (F.col("n") + F.coalesce("t_n", F.lit(0))).alias("n")), "tour", instead_of=state)
     total = state.groupBy(F.col("e.s").alias("s")).agg(F.max("n").alias("total"))
     place = state.select(F.col("e.s").alias("s"), F.col("e.node").alias("node"), F.col("e.closing").alias("closing"), "n", "w").join(total, "s")
     at = F.col("total") - F.col("n") + 1

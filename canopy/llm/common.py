@@ -7,43 +7,25 @@ nothing here uses a machine-local folder on a cluster.
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a Python batch; bounds a worker's memory by the longest texts.
-BATCH_ROWS = 500
+from ..plans.scratch import materialise, scratch_path
 
+__all__ = ["bounded_batches", "map_arrow", "materialise", "once", "scratch_path", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; one is set only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="canopy-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows and bytes of a Python batch, whichever is reached first; a batch holds a row at
+#: least.  Every stage uses these same values: the settings count when a plan runs, not
+#: when it is made, so a stage with bounds of its own would change those of others.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/canopy/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: later stages
-    have no lineage before it, so a lost executor never recomputes it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds before a Python stage starts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

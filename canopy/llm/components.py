@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark["n"]:
             break
         seen = tuple(mark)
-        state = materialise(_small_star(_large_star(state)), "links")
+        state = materialise(_small_star(_large_star(state)), "links", instead_of=state)
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

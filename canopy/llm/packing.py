@@ -164,8 +164,7 @@ def assign(rows: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFr
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(f[:, 1] + i // per), pa.array(f[:, 3] + i % per * f[:, 4])], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema if f.name in names)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return ranged.select(*names, part.alias("__part"), index.alias("__index")).mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranged.select(*names, part.alias("__part"), index.alias("__index")), run, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:

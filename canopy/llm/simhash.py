@@ -225,8 +225,7 @@ def links(classes: DataFrame) -> DataFrame:
     equal = each.groupBy("tbl", "fp").agg(F.min("rep").alias("least"))
     rows = _routed(equal.select("tbl", "fp", F.col("least").alias("rep"))).withColumn("gray", _gray_rank(F.col("fp")))
     dealt = rows.repartition("tbl", "mask", "part").sortWithinPartitions("tbl", "mask", "part", "gray").select("tbl", "mask", "part", "fp", "rep")
-    classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    near = dealt.mapInArrow(_group_links, "u long, v long")
+    near = map_arrow(dealt, _group_links, "u long, v long")
     same = each.join(equal, ["tbl", "fp"]).filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     return near.union(same)
 

@@ -1,13 +1,25 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Candidates: texts with equal shingle sets collapse into one class.  A class goes to
-``BANDS`` buckets, each the hash of ``BAND_ROWS`` minima of its shingle hashes; a pair
-of similarity s shares none with probability (1 - s**BAND_ROWS)**BANDS, 1.3e-7 at 0.8.
-
-Verification: a pair counts only if its exact similarity, from the 64-bit hashes of
-all shingles, is at least 0.8.  Rounds of stars compare the classes of a bucket with
-one of them, so that a large group of near copies is not expanded; then every pair
-of a bucket that is not yet in one component is compared, so that no link is lost.
+Texts with equal shingle sets collapse into one class.  Candidates come in three ways,
+each narrower than the one before, and components are formed in between, so that a
+class that is linked already is not compared again:
+
+1. SimHash: the Gray-order index of ``simhash`` links classes whose fingerprints of
+   five-word shingles differ in at most three bits.  That finds copies with few
+   changes, whatever the size of their group.  At a similarity of 0.8 fingerprints
+   differ in about ten bits of 64, so that the index alone misses most such pairs.
+2. MinHash buckets: a class goes to ``BANDS`` buckets, each the hash of ``BAND_ROWS``
+   minima of its shingle hashes; a pair of similarity s shares none with probability
+   (1 - s**BAND_ROWS)**BANDS, 1.3e-7 at 0.8.  Rounds of stars compare the classes of a
+   bucket with one of them, which then leaves the bucket.
+3. Prefixes: classes in buckets that still hold several components are joined by their
+   rarest shingles.  Two sets of similarity t share one of the first
+   n - ceil(2 t / (1 + t) n) + 1 shingles of the smaller and the first
+   m - ceil(t m) + 1 of the larger, in the order of how many classes hold a shingle.
+   So no pair is lost, and what a large group has in common brings no pairs.
+
+A pair counts only if its exact similarity, from the 64-bit hashes of all shingles,
+is at least 0.8.
 
 Defined cases: a null text counts as the empty text; fewer words than a shingle give
 one shingle of them all; a row is named by its key and its text, so that rows that
@@ -24,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
 from .components import components
+from .simhash import bits_of, links as simhash_links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity of a near copy, as a fraction of whole numbers.
@@ -52,14 +65,15 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 def _mark(batches):
     for b in batches:
-        names, sizes, out = [], [], []
+        names, sizes, prints, out = [], [], [], []
         for t in b.column(2).to_pylist():
             hashes = shingle_hashes(t)
             names.append(xxhash.xxh128_hexdigest(hashes.tobytes()))
             sizes.append(len(hashes))
+            prints.append(bits_of(hashes))
             out.append(buckets(hashes))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), lists], names=["id", "text_key", "set_key", "n", "buckets"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=["id", "text_key", "set_key", "n", "fp", "buckets"])
 
 
 def _sets(batches):
@@ -79,43 +93,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_alike(F.col("common"), F.col("x"), F.col("y"))).select("u", "v")
 
 
+def _by_prefix(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) among ``rest`` (cls, component, n), of different components,
+    that share a rare shingle as two sets of the least similarity must."""
+    t, d = SIMILARITY
+    held = rest.join(sets, "cls").select("cls", "component", "n", F.explode("hashes").alias("h"))
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ranked = held.join(often, "h").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))  # the shingles of one class
+    larger = F.col("n") - F.ceil(F.col("n") * t / d) + 1
+    smaller = F.col("n") - F.ceil(F.col("n") * (2 * t) / (d + t)) + 1
+    first = ranked.select("cls", "component", "n", smaller.cast("int").alias("smaller"), F.posexplode(F.slice("all", F.lit(1), larger.cast("int"))).alias("at", "x"))
+    rows = materialise(first.filter("x.often > 1").select("cls", "component", "n", F.col("x.h").alias("h"), (F.col("at") < F.col("smaller")).alias("counts")), "prefixes")
+    a = rows.filter("counts").select("h", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
+    b = rows.select(F.col("h").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
+    order = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))
+    return a.join(b, (F.col("h") == F.col("other")) & order & (F.col("uc") != F.col("vc")) & _size_fits("un", "vn")).select("u", "v").distinct()
+
+
+def _size_fits(a: str, b: str):
+    return SIMILARITY[1] * F.least(a, b) >= SIMILARITY[0] * F.greatest(a, b)
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, text_key, kept), one for each key that is not null and text."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).filter("id is not null")
     rows = rows.select("id", F.sha2("text", 256).alias("text_key"), "text")
-    marked = materialise(map_arrow(rows, _mark, "id long, text_key string, set_key string, n long, buckets array<long>"), "marked")
-    classes = marked.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    marked = materialise(map_arrow(rows, _mark, "id long, text_key string, set_key string, n long, fp long, buckets array<long>"), "marked")
+    classes = marked.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    near = materialise(simhash_links(classes.select(F.col("cls").alias("rep"), F.array("fp").alias("fps"))), "near")
     each = classes.select("cls", "n", F.explode("buckets").alias("bucket"))
     met = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
     each = materialise(each.join(met, "bucket", "left_semi"), "buckets")
-    asked = each.select("cls").distinct().join(classes, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key"))
+    named_ = each.select("cls").union(near.select("u")).union(near.select("v")).distinct()
+    asked = named_.join(classes, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key"))
     texts = rows.join(asked, ["id", "text_key"]).dropDuplicates(["cls"]).select("cls", "text")
     sets = materialise(map_arrow(texts, _sets, "cls long, hashes array<long>"), "sets")
 
-    def joined(links: DataFrame) -> DataFrame:
+    def still_open(state: DataFrame, links: DataFrame) -> DataFrame:
         """Bucket rows with the component of their class, of buckets not yet in one."""
         of = components(links).withColumnRenamed("node", "cls")
-        state = each.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        return materialise(state.join(mixed, "bucket", "left_semi"), "open")
-
-    def size_fits(a: str, b: str):
-        return SIMILARITY[1] * F.least(a, b) >= SIMILARITY[0] * F.greatest(a, b)
+        known = state.drop("component").join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+        return materialise(known.join(mixed, "bucket", "left_semi"), "open")
 
-    links, state = None, each.withColumn("component", F.col("cls"))
+    links = materialise(_verified(near, sets), "verified")
+    state = still_open(each, links)
     for k in range(STARS):
-        order = F.xxhash64("cls", F.lit(k))
-        pivot = state.groupBy("bucket").agg(F.min_by(F.struct("cls", "n", "component"), order).alias("p"))
-        star = state.join(pivot, "bucket").filter((F.col("component") != F.col("p.component")) & size_fits("n", "p.n"))
-        pairs = star.select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
-        found = materialise(_verified(pairs, sets), "verified")
-        links = found if links is None else links.union(found)
-        state = joined(links)
-    a = state.select("bucket", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
-    b = state.select(F.col("bucket").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
-    rest = a.join(b, (F.col("bucket") == F.col("other")) & (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & size_fits("un", "vn"))
-    links = links.union(materialise(_verified(rest.select("u", "v").distinct(), sets), "verified"))
+        pivot = state.groupBy("bucket").agg(F.min_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(k))).alias("p"))
+        star = state.join(pivot, "bucket")
+        pairs = star.filter((F.col("component") != F.col("p.component")) & _size_fits("n", "p.n")).select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
+        links = links.union(materialise(_verified(pairs, sets), "verified"))
+        state = still_open(star.filter(F.col("cls") != F.col("p.cls")).select("bucket", "cls", "n"), links)
+    rest = materialise(state.select("cls", "component", "n").distinct(), "rest")
+    links = links.union(materialise(_verified(_by_prefix(rest, sets), sets), "verified"))
     of = components(links).withColumnRenamed("node", "cls")
     named = classes.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key"))

@@ -9,8 +9,8 @@ Routing: two fingerprints with at most three differing bits agree on at least
 one of four pieces of their 64 bits, so each class goes to four groups.  A group
 with more than ``GROUP_ROWS`` members is split again by four pieces of the bits
 that are still free, which keeps every link: the differences all lie in the free
-bits.  After five splits at most 15 bits are free, so that a group holds at most
-32,768 different fingerprints whatever the input.
+bits.  After the last split at most 16 bits are free, so that a group holds at most
+65,536 different fingerprints whatever the input.
 
 Index: inside a task the members of each group are sorted by the rank of their
 value in the binary reflected Gray code.  Runs of ``FANOUT`` neighbours form the
@@ -58,6 +58,15 @@ def _mixed(hashes: np.ndarray, table_: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def bits_of(hashes: np.ndarray, table_: int = 0) -> int:
+    """The fingerprint of shingle hashes: bits that over half of them set."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = _mixed(hashes[at : at + 65536], table_)
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((total * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint_list(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
     """``count`` independent fingerprints; the first is that of the plain hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -66,15 +75,7 @@ def fingerprint_list(text: str | None, shingle: int = SHINGLE, count: int = 1) -
     digest = xxhash.xxh64_intdigest
     runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) > shingle else [b" ".join(words)]
     hashes = np.fromiter((digest(s, SEED) for s in runs), np.uint64, max(1, len(words) - shingle + 1))
-    out = []
-    for k in range(count):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65536):
-            part = _mixed(hashes[at : at + 65536], k)
-            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        bits = (total * 2 > len(hashes)).astype(np.uint8)
-        out.append(int(np.packbits(bits, bitorder="little").view(np.uint64)[0]))
-    return out
+    return [bits_of(hashes, k) for k in range(count)]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:

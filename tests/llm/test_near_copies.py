@@ -51,3 +51,20 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, a)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, a)], key=str)
+
+
+def test_a_dense_group_below_the_limit_loses_no_link(spark):
+    """Many texts that share most of their words, at about 0.7 to 0.78, with a few
+    copies among them: the shared part brings no link and no copy is missed."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    base = []
+    for i in range(120):
+        at = rng.randrange(300)
+        base.append(" ".join([*words[:at], *(f"own{i}x{j}" for j in range(rng.randint(48, 70))), *words[at + 60 :]]))
+    texts = [*base, *(edited(rng, t.split(), 0.01) for t in base[:40])]
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == brute_kept(docs)
+    assert 100 < len(got) < 140

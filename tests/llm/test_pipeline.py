@@ -4,11 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from test_near_copies import brute_kept
 from test_text_operators import ODD, SF, brute_measures, brute_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from canopy.llm import packing, quality_classifier, simhash
+from canopy.llm import packing, quality_classifier
 
 
 def kept_by_rules(text):
@@ -17,23 +18,10 @@ def kept_by_rules(text):
 
 
 def one_of_each(docs):
-    prints = {k: simhash.fingerprint_list(t, count=corpus_pipeline.FINGERPRINTS) for k, t in docs.items()}
-    kept: dict = {}
-    for k in sorted(docs):
-        kept[k] = k
-
-    def root(x):
-        while kept[x] != x:
-            x = kept[x]
-        return x
-
-    keys = sorted(docs)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b])):
-                x, y = sorted((root(a), root(b)))
-                kept[y] = x
-    return {k: t for k, t in docs.items() if root(k) == k}
+    """The smallest id of each component of texts whose five-word shingles have a
+    similarity of 0.8 or more, all pairs compared."""
+    kept = brute_kept(docs)
+    return {k: t for k, t in docs.items() if k in kept}
 
 
 def redacted(text):

@@ -14,10 +14,6 @@ from canopy.llm import near_copies, packing, quality_classifier, quality_rules,
 from canopy.llm.common import materialise, scratch_path, table
 
 
-#: Of the former near-copy stage; no stage reads it, tests/llm/test_pipeline.py does.
-FINGERPRINTS = 8
-
-
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
 

@@ -10,8 +10,8 @@ class that is linked already is not compared again:
    differ in about ten bits of 64, so that the index alone misses most such pairs.
 2. MinHash buckets: a class goes to ``BANDS`` buckets, each the hash of ``BAND_ROWS``
    minima of its shingle hashes; a pair of similarity s shares none with probability
-   (1 - s**BAND_ROWS)**BANDS, 1.3e-7 at 0.8.  Rounds of stars compare the classes of a
-   bucket with one of them, which then leaves the bucket.
+   (1 - s**BAND_ROWS)**BANDS, 1.3e-7 at 0.8.  The classes of a bucket are compared
+   with one of them, which then leaves the bucket.
 3. Prefixes: classes in buckets that still hold several components are joined by their
    rarest shingles.  Two sets of similarity t share one of the first
    n - ceil(2 t / (1 + t) n) + 1 shingles of the smaller and the first
@@ -42,7 +42,6 @@ SHINGLE, SEED = 5, 42
 #: The least similarity of a near copy, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
 BANDS, BAND_ROWS = 40, 5
-STARS = 3
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 256
 
@@ -139,12 +138,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     links = materialise(_verified(near, sets), "verified")
     state = still_open(each, links)
-    for k in range(STARS):
-        pivot = state.groupBy("bucket").agg(F.min_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(k))).alias("p"))
-        star = state.join(pivot, "bucket")
-        pairs = star.filter((F.col("component") != F.col("p.component")) & _size_fits("n", "p.n")).select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
-        links = links.union(materialise(_verified(pairs, sets), "verified"))
-        state = still_open(star.filter(F.col("cls") != F.col("p.cls")).select("bucket", "cls", "n"), links)
+    pivot = state.groupBy("bucket").agg(F.min_by(F.struct("cls", "n", "component"), F.xxhash64("cls")).alias("p"))
+    star = state.join(pivot, "bucket")
+    pairs = star.filter((F.col("component") != F.col("p.component")) & _size_fits("n", "p.n")).select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
+    links = links.union(materialise(_verified(pairs, sets), "verified"))
+    state = still_open(star.filter(F.col("cls") != F.col("p.cls")).select("bucket", "cls", "n"), links)
     rest = materialise(state.select("cls", "component", "n").distinct(), "rest")
     links = links.union(materialise(_verified(_by_prefix(rest, sets), sets), "verified"))
     of = components(links).withColumnRenamed("node", "cls")

@@ -10,7 +10,9 @@ task before the shuffle, so that a text in a third of all rows moves once a task
 
 A rule's matches are leftmost and do not overlap; their places come from the
 pieces between them: split and match-all use one engine, so that the lengths of
-pieces and matches add up to positions in code points.
+pieces and matches add up to positions in code points.  Running sums and cuts work
+on blocks of ``BLOCK`` values and ``CUT`` code points, so that the work grows with the
+length of a text and not with its square, however many spans it has.
 
 Defined cases: a null text counts as the empty text, which holds no secret;
 repeated rows get the same findings, one output row each; rows with a null id
@@ -57,6 +59,9 @@ MORE_RULES = (
     Rule("hosted_token", 1, "(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Values that a running sum or maximum folds at once, and code points of a piece from
+#: which spans are cut.
+BLOCK, CUT = 128, 4096
 SPAN = "struct<kind:string,version:int,start:bigint,stop:bigint>"
 
 
@@ -64,22 +69,50 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _running(values: Column, fold) -> Column:
+    """For each long of an array the fold of all before it (0 before the first).  An
+    array that grows is copied at each step, so values are folded in blocks, and the
+    folds of whole blocks in the same way."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def walk(part: Column) -> Column:
+        return F.aggregate(part, start, lambda s, x: F.struct(fold(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        before = walk(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(before, blocks, lambda a, b: F.transform(b["out"], lambda x: fold(a, x))))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: walk(F.slice(v, i * BLOCK + 1, F.lit(BLOCK))))
+
+    return _bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(_bound(cut(v), joined)))
+
+
+def _bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of the rule's spans in a text, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(gaps.alias("gap"), found.alias("found"), counted.alias("counted"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(state: Column, row: Column) -> Column:
-        at = state["at"] + F.char_length(row["gap"])
-        stop = at + F.char_length(F.coalesce(row["found"], F.lit("")))
-        span = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), at.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
-        good = row["found"].isNotNull() & (F.char_length(row["counted"]) >= rule.least)
-        return F.struct(stop.cast("bigint").alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def length(x: Column) -> Column:
+        return F.char_length(x).cast("bigint")
+
+    # one row a match: how far it begins after the match before it, its length, whether it counts
+    rows = F.zip_with(F.transform(F.arrays_zip(found.alias("f"), counted.alias("c")), lambda m: F.struct(length(m["f"]).alias("size"), (F.char_length(m["c"]) >= rule.least).alias("good"))), gaps, lambda m, gap: F.struct(length(gap).alias("gap"), m["size"].alias("size"), m["good"].alias("good")))
 
-    return F.when(F.regexp_like(text, F.lit(rule.hint or rule.pattern)), F.aggregate(rows, start, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def placed(m: Column) -> Column:
+        before = _running(F.transform(m, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        made = F.zip_with(m, before, lambda x, at: F.struct(x["good"].alias("good"), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("stop")).alias("span")))
+        return F.transform(F.filter(made, lambda x: x["good"]), lambda x: x["span"])
+
+    there = F.filter(rows, lambda x: x["size"].isNotNull())  # the last gap has no match after it
+    return F.when(F.regexp_like(text, F.lit(rule.hint or rule.pattern)), _bound(there, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 class Ledger:
@@ -155,25 +188,35 @@ def report(docs: DataFrame, ledger: Ledger, key: str = "doc_id", text: str = "te
     return findings(docs, ledger, RULES, key, text).select(key, *counts, F.sha2(_joined(f, base), 256).alias("base_sha256"), _joined(f, tuple(r.kind for r in RULES)).alias("spans"))
 
 
+def covered(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with the spans of ``found`` (start, stop; sorted) replaced by ``mark``.
+    The text is cut once into pieces of ``CUT`` code points, and what lies between two
+    spans comes from the pieces that it touches."""
+
+    def between(pieces: Column, lo: Column, hi: Column) -> Column:
+        first, last = F.floor(lo / CUT).cast("int"), F.floor((hi - 1) / CUT).cast("int")
+        part = F.transform(F.sequence(first, last), lambda i: F.substring(F.get(pieces, i), (F.greatest(lo - i * CUT, F.lit(0)) + 1).cast("int"), (F.least(hi - i * CUT, F.lit(CUT)) - F.greatest(lo - i * CUT, F.lit(0))).cast("int")))
+        return F.when(hi > lo, F.array_join(part, "")).otherwise("")
+
+    def cut(x: Column) -> Column:
+        shown = F.filter(F.zip_with(x["spans"], x["reach"], lambda f, at: F.struct(f["start"].alias("start"), at.alias("at"))), lambda f: f["start"] >= f["at"])
+        heads = F.transform(shown, lambda f: F.concat(between(x["pieces"], f["at"], f["start"]), F.lit(mark)))
+        return F.concat(F.array_join(heads, ""), between(x["pieces"], F.array_max(F.transform(x["spans"], lambda f: f["stop"])), F.char_length(x["body"]).cast("bigint")))
+
+    reach = _running(F.transform(found, lambda f: f["stop"]), F.greatest)
+    whole = F.struct(text.alias("body"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("pieces"), found.alias("spans"), reach.alias("reach"))
+    return _bound(whole, cut)
+
+
 def redact(docs: DataFrame, ledger: Ledger, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans of
     several rules are covered together.  Other columns stay as they are."""
     scan(docs, ledger, RULES, text)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, f: Column) -> Column:
-        inside = f["start"] < s["at"]
-        gap = F.substring(F.col("__secret_body"), (s["at"] + 1).cast("int"), (f["start"] - s["at"]).cast("int"))
-        return F.struct(F.greatest(s["at"], f["stop"]).alias("at"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], gap, F.lit(mark))).alias("out"))
-
-    def cut(s: Column) -> Column:
-        return F.concat(s["out"], F.substring(F.col("__secret_body"), (s["at"] + 1).cast("int"), F.lit(2147483647)))
-
     marked = docs.withColumn("__secret_blob", blob_id(F.col(f"`{text}`"))).withColumn("__secret_body", body)
     found = ledger.findings(RULES).select(F.col("blob").alias("__secret_key"), F.sort_array(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop")))).alias("__secret_found"))
     joined = marked.join(found, F.col("__secret_blob") == F.col("__secret_key"), "left")
-    clean = F.when(F.col("__secret_found").isNull(), F.col(f"`{text}`")).otherwise(F.aggregate("__secret_found", start, step, cut))
+    clean = F.when(F.col("__secret_found").isNull(), F.col(f"`{text}`")).otherwise(covered(F.col("__secret_body"), F.col("__secret_found"), mark))
     return joined.withColumn(text, clean).select(*[f"`{c}`" for c in docs.columns])
 
 

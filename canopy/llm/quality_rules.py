@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 A rule is a boolean expression that is true when a document is rejected.  On a
-bounded sample the planner measures what each rule costs and how many rows it
-rejects; rules then run in descending order of rejections per cost and a row
-leaves the cascade at the first rule that rejects it.  The order decides the
-work, never the verdict: a document is kept if no rule rejects it.
+bounded sample the planner estimates what each rule costs and which rows it rejects.
+Cost is counted in operations (``COSTS``: per code point, word or window of the
+sample), not in seconds, so that the order is the same in every run.  Rules then run
+in descending order of rejections per cost.  A row leaves the cascade at the first
+rule that rejects it, and a measure is computed at most once, where a rule that reads
+it is first reached.  The order decides the work, never the verdict: a document is
+kept if no rule rejects it.
 
 Defined cases: a null text counts as the empty text; empty and short texts fail
 the word-count rule; repeated rows are judged alike, one output row each; an
@@ -14,9 +17,9 @@ and measure columns are prefixed, so that they cannot clash.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,9 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 400
+#: Rows of the sample on which costs and selectivities are estimated, and the files
+#: that they are spread over.
+SAMPLE_ROWS, SAMPLE_FILES = 400, 8
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -64,7 +68,7 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words inside 8-word windows that occur at least twice.
 
-    Windows are compared by a 64-bit hash of their words.  Only a text in which
+    Windows are compared by a 64-bit hash, made from the hashes of their halves.  Only a text in which
     some window repeats pays for sorting: runs of equal hashes in the sorted list
     give the positions, and neighbouring positions give the words they cover.
     """
@@ -93,10 +97,15 @@ def n_repeat_words(words: Column) -> Column:
     def judged(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(repeated(hashes))
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
+    def doubled(h: Column, width: int) -> Column:
+        """Hashes of runs of ``width`` words, from those of half the width."""
+        runs = F.size(h) - width // 2
+        return F.zip_with(F.slice(h, F.lit(1), runs), F.slice(h, F.lit(width // 2 + 1), runs), lambda a, b: F.xxhash64(a, b))
 
-    return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(_bound(words, lambda w: _bound(windows(w), judged)))
+    def windows(h: Column, width: int) -> Column:
+        return _bound(doubled(h, width), judged) if width == WINDOW else _bound(doubled(h, width), lambda x: windows(x, 2 * width))
+
+    return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(_bound(F.transform(words, lambda x: F.xxhash64(x)), lambda h: windows(h, 2)))
 
 
 @dataclass(frozen=True)
@@ -120,6 +129,16 @@ MEASURES = {
     "n_repeat_words": lambda t, w: n_repeat_words(w),
 }
 
+#: Operations of each measure for a text of ``c`` code points and ``w`` words.  Passes
+#: over a text count its code points; work on words counts about what a word costs.
+COSTS = {
+    "n_words": lambda c, w: w,
+    "word_chars": lambda c, w: 6 * c,
+    "n_symbols": lambda c, w: 8 * c,
+    "n_dup_lines": lambda c, w: 4 * c,
+    "n_repeat_words": lambda c, w: 60 * w,
+}
+
 #: Production rules; thresholds are on whole numbers so that every engine agrees.
 BASE_RULES = (
     Rule("few_words", ("n_words",), lambda n: n < 20),
@@ -135,23 +154,36 @@ RULES = BASE_RULES + EXTRA_RULES
 PREFIX = "__rule_"
 
 
+def _sample(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """At most ``rows`` texts, taken from the heads of files spread over the input; of
+    an input that is not files, the first."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")
+    files = docs.inputFiles()
+    if len(files) < 2:
+        return docs.select(t).limit(rows)
+    step = -(-len(files) // SAMPLE_FILES)
+    chosen = sorted(files)[step // 2 :: step]
+    names = [f.rpartition("/")[2] for f in chosen]
+    if len(set(f.rpartition("/")[2] for f in files)) < len(files) or "_metadata" in docs.columns:
+        return docs.select(t).limit(rows)
+    parts = [docs.filter(F.col("_metadata.file_name") == n).select(t).limit(max(1, rows // len(names))) for n in names]
+    return reduce(DataFrame.union, parts)
+
+
 def plan_order(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules with their measured seconds and rejected share, best first.
+    """Rules with their estimated operations a text and rejected share, best first.
 
-    The sample is the first ``sample_rows`` rows of the scan and bounds only this
-    estimate; ties in the score keep the declared order.
+    The sample bounds only this estimate, and is summed up where it lies: one row is
+    collected.  Ties keep the declared order; rules that reject nothing go by cost.
     """
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).collect()
-    if not rows:
-        return [(r, 0.0, 0.0) for r in rules]
-    sample = docs.sparkSession.createDataFrame([(r["t"],) for r in rows], "t string").coalesce(1)
-    out = []
-    for rule in rules:
-        hits = F.count_if(_rejected_by((rule,), F.col("t"), words_of(F.col("t"))).isNotNull())
-        began = time.perf_counter()
-        n = sample.agg(hits.alias("n")).first()["n"]
-        out.append((rule, max(time.perf_counter() - began, 1e-4), n / len(rows)))
-    return sorted(out, key=lambda x: -x[2] / x[1])
+    t, w = F.col("t"), F.col("w")
+    values = {m: F.col(m) for m in MEASURES}
+    sample = _sample(docs, text, sample_rows).withColumn("w", words_of(t))
+    counted = sample.select(F.char_length(t).alias("c"), F.size(w).alias("w"), *[f(t, w).alias(m) for m, f in MEASURES.items()])
+    hits = [F.coalesce(F.avg(F.coalesce(r.on(values), F.lit(False)).cast("double")), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(rules)]
+    mean = counted.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("c"), F.coalesce(F.avg("w"), F.lit(0.0)).alias("w"), *hits).first()
+    out = [(r, 1 + sum(COSTS[m](mean["c"], mean["w"]) for m in r.measures), mean[f"r{i}"]) for i, r in enumerate(rules)]
+    return sorted(out, key=lambda x: (-x[2] / x[1], x[1]))
 
 
 def first_rejection(order: tuple[Rule, ...], values: dict[str, Column]) -> Column:
@@ -163,9 +195,19 @@ def first_rejection(order: tuple[Rule, ...], values: dict[str, Column]) -> Colum
 
 
 def _rejected_by(order: tuple[Rule, ...], text: Column, words: Column) -> Column:
-    """The cascade over a text: a measure is computed only where a rule is reached
-    that reads it."""
-    return _bound(words, lambda w: first_rejection(order, {m: f(text, w) for m, f in MEASURES.items()}))
+    """The cascade over a text: a measure is computed where a rule is first reached
+    that reads it, and bound for the rules after it."""
+
+    def step(rest: tuple[Rule, ...], have: dict[str, Column], w: Column) -> Column:
+        if not rest:
+            return F.lit(None).cast("string")
+        rule = rest[0]
+        new = [m for m in rule.measures if m not in have]
+        if new:
+            return _bound(MEASURES[new[0]](text, w), lambda v: step(rest, {**have, new[0]: v}, w))
+        return F.when(rule.on(have), F.lit(rule.name)).otherwise(step(rest[1:], have, w))
+
+    return _bound(words, lambda w: step(order, {}, w))
 
 
 def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Column]]:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
@@ -183,6 +184,27 @@ def test_rule_order_is_by_rejections_per_cost(docs):
     assert [s / c for _, c, s in order] == sorted((s / c for _, c, s in order), reverse=True)
 
 
+def test_rule_order_is_the_same_in_every_run(docs):
+    orders = {tuple(r.name for r, _, _ in quality_rules.plan_order(docs)) for _ in range(5)}
+    assert len(orders) == 1
+
+
+def test_sample_is_spread_over_files(spark, docs):
+    path = scratch_path(spark, "t")
+    docs.repartition(20).write.parquet(path)
+    spread = quality_rules._sample(spark.read.parquet(path), "text", 16)
+    assert spread.count() <= 16 and len(spread.inputFiles()) > 1
+
+
+@pytest.mark.parametrize("first", range(len(quality_rules.RULES)))
+def test_any_order_gives_the_same_verdict(odd, docs, first):
+    order = quality_rules.RULES[first:] + quality_rules.RULES[:first]
+    for df in (odd, docs):
+        t = F.coalesce("text", F.lit(""))
+        kept = df.filter(quality_rules._rejected_by(order, t, quality_rules.words_of(t)).isNull())
+        assert kept.count() == quality_rules.apply_rules(df).count()
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     out = {r["doc_id"]: r for r in rows(quality_classifier.classify(docs, labels))}

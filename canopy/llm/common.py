@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.scratch import materialise, scratch_path
 
-__all__ = ["bounded_batches", "map_arrow", "materialise", "once", "scratch_path", "table"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "map_arrow", "materialise", "once", "scratch_path", "table"]
 
 #: Rows and bytes of a Python batch, whichever is reached first; a batch holds a row at
 #: least.  Every stage uses these same values: the settings count when a plan runs, not

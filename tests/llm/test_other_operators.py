@@ -1,6 +1,7 @@
 """URL filter, archives and vectors against brute force; queries against SQL."""
 
 import glob
+import gzip
 import hashlib
 import os
 import re
@@ -78,6 +79,33 @@ def test_archives_round_trip(spark):
     assert rows(warc.resolve(warc.read(spark, empty))) == []
 
 
+def test_a_file_is_gzip_of_records_and_closes_by_bytes(spark, monkeypatch):
+    """Any gzip reader gets the records one after another; files stay near their bound."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    data = [(i, f"http://a/{i}", f"page {i} é " * 1500) for i in range(60)]
+    path = scratch_path(spark, "t")
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), path)
+    files = [f.removeprefix("file://") for f in spark.read.text(path).inputFiles()]
+    seen = []
+    for f in files:
+        with gzip.open(f) as g:
+            seen += [(h["warc-target-uri"], block.partition(b"\r\n\r\n")[2].decode()) for h, block in warc.parse(g.read())]
+    assert len(files) >= 8 and sorted(seen) == sorted((u, t) for _, u, t in data)
+
+
+def test_pages_of_megabytes_and_the_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    big = ["é\U0001f642 x%d " % i * 250_000 for i in range(3)]
+    data = [(i, "u", big[i % 3]) for i in range(12)]
+    path = scratch_path(spark, "t")
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string"), path)
+    got = rows(warc.resolve(warc.read(spark, path, payloads=True)))
+    assert sum(r["record_type"] == "response" for r in got) == 3
+    for r in got:
+        k = int(r["record_id"].rpartition(":")[2])
+        assert bytes(r["payload"]).decode() == big[k % 3] and r["refers_to"] == (None if k > 8 else f"urn:page:{9 + k % 3}")
+
+
 # Vectors
 
 

@@ -45,9 +45,19 @@ def materialise(df: DataFrame, label: str, instead_of: DataFrame | None = None)
     return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, store = _store(spark, path)
+    return store.exists(hadoop)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop, store = _store(spark, path)
+    store.delete(hadoop, True)
 
 
 def clear(spark: SparkSession) -> None:

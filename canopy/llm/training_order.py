@@ -11,8 +11,13 @@ file a shard.  A record is ``seq_len`` unsigned 16-bit ids and a 16-bit zero tha
 marks its end, so slot s lies at byte (s % shard_rows) * stride.  Records go out
 through Spark's text writer, whose line separator is that mark: any file system
 that Spark knows will do, and a lost executor leaves no half-written shard.
-``missing_shards`` lists what a broken-off run still has to write, and ``write``
-takes such a list.
+
+Recovery: a folder holds the staged sequences, a manifest (counts by input split,
+dictionary and parameters), written last, and the shards.  ``stage`` on a folder with
+a manifest takes what is there, so that numbers, which depend on the splits of the
+first staging, never change under shards that are already written; ``resume`` writes
+what ``missing_shards`` finds missing, in any session.  ``read`` starts at any slot and
+opens no shard before it.
 
 Between the two passes sequences are compressed with a dictionary that is taken
 from a bounded sample of the texts; all sequences are written whole.
@@ -36,6 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigurationError
+from ..plans.scratch import exists
 from .common import map_arrow, materialise, once, scratch_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,11 +53,16 @@ ROUNDS = 6
 #: Bounds of the compression dictionary: sampled texts, and bytes of their ids.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 800, 1_000_000
 _MARK = "\x00\x00"
+_MOST = (1 << 16) - 1
+_STAGED = "part int, idx long, n_tokens int, blob binary"
+_MANIFEST = "parts array<long>, first array<long>, total long, dictionary binary, seq_len int, shard_rows int, key long"
 
 
 def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    if max(max(ranks.values()), END_ID) > _MOST:
+        raise ConfigurationError(f"an id of this vocabulary does not fit 16 bits: the largest is {max(ranks.values())}")
     return tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -77,8 +89,10 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 @dataclass
 class Order:
-    """A staged corpus: compressed sequences and where each partition's numbers begin."""
+    """A staged corpus: compressed sequences, where each partition's numbers begin, and
+    the folder that holds them."""
 
+    folder: str
     staged: DataFrame
     parts: np.ndarray
     first: np.ndarray
@@ -88,6 +102,10 @@ class Order:
     shard_rows: int = SHARD_ROWS
     key: int = KEY
 
+    @property
+    def path(self) -> str:
+        return f"{self.folder}/shards"
+
     @property
     def shards(self) -> int:
         return -(-self.total // self.shard_rows)
@@ -99,18 +117,45 @@ class Order:
 
 def _dictionary(docs: DataFrame, text: str, path: str, pattern: str) -> bytes:
     """The ids of at most SAMPLE_TEXTS texts, up to DICTIONARY_BYTES: what sequences
-    share with them is stored as a reference."""
-    rows = docs.select(F.col(f"`{text}`").alias("t")).limit(SAMPLE_TEXTS).collect()
-    encoder = _encoder(path, pattern)
-    ids = [np.append(encoder.encode_to_numpy(r["t"] or "", disallowed_special=()), END_ID).astype("<u2") for r in rows]
-    return np.concatenate(ids).tobytes()[:DICTIONARY_BYTES] if ids else b""
+    share with them is stored as a reference.  Texts stay on the executors."""
+
+    def run(batches):
+        encoder, held, size = _encoder(path, pattern), [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if size < DICTIONARY_BYTES:
+                    held.append(np.append(encoder.encode_to_numpy(t or "", disallowed_special=()), END_ID).astype("<u2").tobytes())
+                    size += len(held[-1])
+        yield pa.RecordBatch.from_pydict({"ids": pa.array([b"".join(held)[:DICTIONARY_BYTES]], pa.binary())})
+
+    sample = docs.select(F.col(f"`{text}`").alias("t")).limit(SAMPLE_TEXTS).coalesce(1)
+    return b"".join(bytes(r["ids"]) for r in map_arrow(sample, run, "ids binary").collect())[:DICTIONARY_BYTES]
 
 
 def _zstd(dictionary: bytes):
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if dictionary else {}
 
 
-def stage(docs: DataFrame, path: str, pattern: str, text: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY) -> Order:
+def load(spark: SparkSession, folder: str) -> Order | None:
+    """The order that was staged in ``folder``; nothing if staging did not end."""
+    if not exists(spark, f"{folder}/manifest/_SUCCESS"):
+        return None
+    m = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").first()
+    staged = spark.read.schema(_STAGED).parquet(f"{folder}/sequences")
+    return Order(folder, staged, np.array(m["parts"], np.int64), np.array(m["first"], np.int64), m["total"], bytes(m["dictionary"]), m["seq_len"], m["shard_rows"], m["key"])
+
+
+def stage(docs: DataFrame, path: str, pattern: str, text: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY, folder: str | None = None) -> Order:
+    """Tokenise ``docs`` into ``folder`` (a new scratch folder without one), or take
+    what an earlier call left there."""
+    spark = docs.sparkSession
+    folder = folder or scratch_path(spark, "order")
+    known = load(spark, folder)
+    if known is not None:
+        if (known.seq_len, known.shard_rows, known.key) != (seq_len, shard_rows, key):
+            raise ConfigurationError("the folder holds an order with other parameters")
+        return known
+    _encoder(path, pattern)  # a vocabulary that does not fit fails here, before any task
     dictionary = _dictionary(docs, text, path, pattern)
 
     def run(batches):
@@ -141,10 +186,14 @@ def stage(docs: DataFrame, path: str, pattern: str, text: str = "text", seq_len:
             ids = np.concatenate(held)
             yield from rows(np.append(ids, np.full(seq_len - size, END_ID, "<u2")), size)
 
-    staged = materialise(map_arrow(docs.select(F.col(f"`{text}`").alias("__text")), run, "part int, idx long, n_tokens int, blob binary"), "sequences")
+    made = map_arrow(docs.select(F.col(f"`{text}`").alias("__text")), run, _STAGED)
+    made.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/sequences")
+    staged = spark.read.schema(_STAGED).parquet(f"{folder}/sequences")
     counts = sorted((r["part"], r["n"]) for r in staged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each input split
     n = np.array([c for _, c in counts], np.int64)
-    return Order(staged, np.array([p for p, _ in counts], np.int64), np.cumsum(n) - n, int(n.sum()), dictionary, seq_len, shard_rows, key)
+    row = ([p for p, _ in counts], (np.cumsum(n) - n).tolist(), int(n.sum()), bytearray(dictionary), seq_len, shard_rows, key)
+    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return load(spark, folder)
 
 
 def numbered(order: Order, blobs: bool = False) -> DataFrame:
@@ -164,7 +213,7 @@ def numbered(order: Order, blobs: bool = False) -> DataFrame:
 
 def write(order: Order, path: str, only: list[int] | None = None) -> None:
     """Write all shards, or those of ``only``, below ``path``."""
-    if not order.shards:
+    if not order.shards or only == []:
         return
     dictionary, width = order.dictionary, 2 * order.seq_len
     rows = numbered(order, blobs=True).select("shard", "slot", "blob")
@@ -187,13 +236,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def missing_shards(spark: SparkSession, order: Order, path: str) -> list[int]:
     """Shards that have no file of their full length yet."""
-    there = {(int(re.search(r"part-(\d+)", r["path"])[1]), r["length"]) for r in _files(spark, path).select("path", "length").collect()}  # one row for each shard
+    there = {(int(re.search(r"part-(\d+)", r["path"])[1]), r["length"]) for r in _files(spark, path).select("path", "length").collect()} if exists(spark, path) else set()  # one row for each shard
     size = [min(order.shard_rows, order.total - k * order.shard_rows) * order.stride for k in range(order.shards)]
     return [k for k in range(order.shards) if (k, size[k]) not in there]
 
 
-def read(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Records of the shards in place: slot, shard, byte offset, ids (binary)."""
+def resume(spark: SparkSession, folder: str) -> Order | None:
+    """Write what an interrupted run left unwritten; nothing if it did not end staging."""
+    order = load(spark, folder)
+    if order is not None:
+        write(order, order.path, missing_shards(spark, order, order.path))
+    return order
+
+
+def read(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, from_slot: int = 0) -> DataFrame:
+    """Records of the shards from ``from_slot`` on, in place: slot, shard, byte offset,
+    ids (binary).  Shards before that slot are not opened."""
     stride = 2 * seq_len + len(_MARK)
 
     def run(batches):
@@ -202,23 +260,27 @@ def read(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, shard_rows: int
                 shard, raw = int(re.search(r"part-(\d+)", name)[1]), data.as_py()
                 if len(raw) % stride:
                     raise ValueError(f"{name} does not hold whole records")
-                for at in range(0, len(raw), 1024 * stride):
+                begin = max(0, from_slot - shard * shard_rows) * stride
+                for at in range(begin, len(raw), 1024 * stride):
                     lo = range(at, min(len(raw), at + 1024 * stride), stride)
                     slots = [shard * shard_rows + x // stride for x in lo]
                     yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "shard": pa.array([shard] * len(slots), pa.int32()), "byte_offset": pa.array(list(lo), pa.int64()), "ids": pa.array([raw[x : x + 2 * seq_len] for x in lo], pa.binary())})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    return _files(spark, path).select("path", "content").mapInArrow(run, "slot long, shard int, byte_offset long, ids binary")
+    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    there = _files(spark, path)
+    if from_slot:
+        names = [r["path"] for r in there.filter(shard >= from_slot // shard_rows).select("path").collect()]  # one row for each shard
+        there = spark.read.format("binaryFile").load(names) if names else there.limit(0)
+    return map_arrow(there.select("path", "content"), run, "slot long, shard int, byte_offset long, ids binary")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     order = stage(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    path = scratch_path(spark, "shards")
-    write(order, path)
+    write(order, order.path)
     plan = materialise(numbered(order), "order")
     if not order.shards:
         return plan.select("sequence", "slot", "shard", F.lit(0).cast("long").alias("byte_offset"), "n_tokens", F.lit(0).cast("long").alias("ids_crc32"))
-    back = materialise(read(spark, path).select("slot", "byte_offset", F.crc32("ids").alias("ids_crc32")), "records")
+    back = materialise(read(spark, order.path).select("slot", "byte_offset", F.crc32("ids").alias("ids_crc32")), "records")
     return plan.join(back, "slot").select("sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32")

@@ -14,6 +14,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
+from canopy.errors import ConfigurationError
 from canopy.llm import packing, piece_tokens, quality_classifier, quality_rules, secret_scan, simhash, training_order
 from canopy.llm.common import scratch_path
 from canopy.llm.components import components
@@ -434,3 +435,32 @@ def test_shards_hold_every_token_in_order(spark, odd, docs, empty):
         assert all(b["byte_offset"] == s % 50 * order.stride and b["shard"] == s // 50 for s, b in back.items())
     none = training_order.stage(empty, path, pattern)
     assert none.total == 0 and none.shards == 0
+
+
+def test_an_order_is_resumed_from_its_folder(spark, docs):
+    """A driver that is lost after half of the shards: another takes the manifest up,
+    whatever splits the input has by then."""
+    path, pattern = public_tokenizers.path(training_order.RANKS), public_tokenizers.PATTERN
+    folder = scratch_path(spark, "t")
+    assert training_order.load(spark, folder) is None and training_order.resume(spark, folder) is None
+    first = training_order.stage(docs, path, pattern, seq_len=128, shard_rows=50, folder=folder)
+    training_order.write(first, first.path, list(range(0, first.shards, 3)))
+    half = {r["slot"]: bytes(r["ids"]) for r in rows(training_order.read(spark, first.path, 128, 50))}
+    again = training_order.stage(docs.repartition(7), path, pattern, seq_len=128, shard_rows=50, folder=folder)
+    assert (again.total, again.dictionary) == (first.total, first.dictionary) and len(training_order.missing_shards(spark, again, again.path)) > 0
+    other = spark.newSession()
+    assert training_order.resume(other, folder).total == first.total
+    whole = {r["slot"]: bytes(r["ids"]) for r in rows(training_order.read(other, first.path, 128, 50))}
+    assert sorted(whole) == list(range(first.total)) and whole.items() >= half.items()
+    for slot in (0, 1, 50, 77, first.total - 1, first.total):
+        later = {r["slot"]: bytes(r["ids"]) for r in rows(training_order.read(other, first.path, 128, 50, from_slot=slot))}
+        assert later == {k: v for k, v in whole.items() if k >= slot}
+    with pytest.raises(ConfigurationError):
+        training_order.stage(docs, path, pattern, seq_len=64, shard_rows=50, folder=folder)
+
+
+def test_ids_that_do_not_fit_are_refused(tmp_path):
+    vocabulary = tmp_path / "large.tiktoken"
+    vocabulary.write_bytes(b"YQ== 0\nYg== 70000\n")
+    with pytest.raises(ConfigurationError):
+        training_order._encoder(str(vocabulary), "a|b")

@@ -16,7 +16,8 @@ Defined cases: a null text scores as the empty text; a null or missing
 character count counts as the length of the text; repeated rows score alike;
 with no usable label, or labels of one class only, every score is the share of
 label 1 (0.5 without any); an empty table gives an empty table; documents with
-several labels count once for each; rows with a null label are not used.
+several labels count once for each, and of documents that repeat an id one text
+(the smallest by a hash) is trained on; rows with a null label are not used.
 """
 
 from __future__ import annotations
@@ -174,12 +175,17 @@ def _training_ids(labels: DataFrame, key: str, label: str, rows: int) -> DataFra
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", chars: str = "n_chars", rows: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled sample.  Only ids and labels, at most ``rows`` of them,
-    are broadcast to find its texts; features are made on the executors."""
+    are broadcast to find its texts; features are made on the executors, and those
+    of at most ``rows`` texts are collected."""
     spark = docs.sparkSession
     wanted = spark.createDataFrame(_training_ids(labels, key, label, rows).collect(), f"`{key}` {labels.schema[key].dataType.simpleString()}, __label int")
     n_chars = F.col(chars).cast("long") if chars in docs.columns else F.lit(None).cast("long")
     sample = docs.select(key, F.col(text).alias("text"), n_chars.alias("n_chars")).join(F.broadcast(wanted), key).select(F.col(key).cast("string").alias("k"), "text", "n_chars", "__label")
 
+    # one text for each id and label, however often documents repeat an id
+    one = F.min_by(F.struct("text", "n_chars"), F.xxhash64("text", "n_chars"))
+    sample = sample.groupBy("k", "__label").agg(one.alias("x")).select("k", "x.text", "x.n_chars", "__label")
+
     def run(batches):
         buckets = _Buckets()
         for b in batches:

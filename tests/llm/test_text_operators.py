@@ -225,6 +225,74 @@ def test_pairwise_identity():
     assert abs(m.margin(idx, val) - want) < 1e-9
 
 
+def plain_fit(rows_, epochs):
+    """The same training, written on dense matrices with the derivative of each pair."""
+    qc = quality_classifier
+    size, rng = qc.N_STATS + qc.BUCKETS, np.random.default_rng(qc.SEED)
+    v, w = rng.normal(0, 0.02, (size, qc.RANK)), np.zeros(size)
+    x, y = np.zeros((len(rows_), size)), np.array([float(r[2]) for r in rows_])
+    for i, (idx, val, _) in enumerate(rows_):
+        x[i, idx] = val
+    b, gb, gw, gv = float(np.log(y.mean() / (1 - y.mean()))), 1e-6, np.full(size, 1e-6), np.full((size, qc.RANK), 1e-6)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows_))
+        for at in range(0, len(order), qc.BATCH):
+            part = order[at : at + qc.BATCH]
+            p, dw, dv, db = x[part], np.zeros(size), np.zeros_like(v), 0.0
+            for k, row in zip(part, p):
+                on = np.flatnonzero(row)
+                pairs = sum(float(v[i] @ v[j]) * row[i] * row[j] for n, i in enumerate(on) for j in on[n + 1 :])
+                err = (1 / (1 + np.exp(-(b + float(row @ w) + pairs))) - y[k]) / len(part)
+                db += err
+                dw += err * row
+                for i in on:
+                    dv[i] += err * row[i] * (sum(row[j] * v[j] for j in on if j != i) if len(on) > 1 else 0)
+            used = np.unique(np.concatenate([rows_[k][0] for k in part]))
+            dw[used] += qc.L2 * w[used]
+            dv[used] += qc.L2 * v[used]
+            gw[used] += dw[used] ** 2
+            gv[used] += dv[used] ** 2
+            gb += db**2
+            w[used] -= 0.15 * dw[used] / np.sqrt(gw[used])
+            v[used] -= 0.3 * 0.15 * dv[used] / np.sqrt(gv[used])
+            b -= 0.15 * db / np.sqrt(gb)
+    return b, w, v
+
+
+def test_fit_equals_a_plain_version():
+    rng = np.random.default_rng(1)
+    data = [(np.sort(rng.choice(60, 9, replace=False)), rng.normal(size=9), int(rng.random() < 0.4)) for _ in range(30)]
+    model = quality_classifier.fit(data)
+    b, w, v = plain_fit(data, quality_classifier.EPOCHS)
+    assert np.isclose(model.bias, b) and np.allclose(model.linear, w) and np.allclose(model.factors, v)
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark, odd, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.train(docs, labels)
+    linear, factors = model.linear.astype(np.float32).astype(float), model.factors.astype(np.float32).astype(float)
+    short = docs.filter("length(text) < 800").unionByName(odd.filter("length(text) < 800").select(*docs.columns))
+    source = {(r["doc_id"], r["text"]): (r["text"], r["n_chars"]) for r in short.collect()}
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality_classifier.score(short, model, keep_text=True).collect()}
+    assert len(got) > 20
+    for k, (t, n) in source.items():
+        idx, val = quality_classifier.features(t, n, quality_classifier._Buckets())
+        vx = factors[idx] * val[:, None]
+        gram = vx @ vx.T
+        margin = model.bias + float(linear[idx] @ val) + float(np.triu(gram, 1).sum())
+        assert abs(got[k] - 1 / (1 + np.exp(-min(max(margin, -35), 35)))) < 1e-9
+
+
+def test_a_labelled_id_that_repeats_is_trained_on_once(spark):
+    """Many rows under one labelled id neither outweigh the others nor grow the sample."""
+    good, bad = "plain words in a sentence. " * 12, "## $$ ## " * 30
+    docs = spark.createDataFrame([(i, good if i % 2 else bad, 100) for i in range(40)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality_classifier.train(docs, labels)
+    more = quality_classifier.train(docs.unionByName(docs.filter("doc_id < 3").crossJoin(spark.range(200)).drop("id")), labels)
+    assert once.bias == more.bias and np.array_equal(once.linear, more.linear) and np.array_equal(once.factors, more.factors)
+
+
 def test_classifier_odd_rows_and_labels(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (7, 0), (9, None), (8, 1), (8, 1), (None, 0)], "doc_id long, quality int")
     out = rows(quality_classifier.classify(odd, labels))

@@ -33,6 +33,10 @@ class MissingNodeError(TreeError, KeyError):
     pass
 
 
+class AmbiguousNodeError(TreeError):
+    """An id that rows of several scopes share, given without a scope."""
+
+
 class TrashedTargetError(TreeError):
     pass
 

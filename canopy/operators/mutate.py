@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CloneTargetError, CyclicMoveError, MissingNodeError, ScopeViolationError, SiblingOrderError, TrashedAncestorError, TrashedTargetError, UnplacedNodeError
+from ..errors import AmbiguousNodeError, CloneTargetError, CyclicMoveError, MissingNodeError, ScopeViolationError, SiblingOrderError, TrashedAncestorError, TrashedTargetError, UnplacedNodeError
 from ..plans.build import ANC, REACHED
-from ..plans.ranking import running_sums
-from ..spec import NodeBounds, TreeSpec, col
+from ..plans.ranking import global_rank, running_sums
+from ..spec import NodeBounds, NodeKey, TreeSpec, col
 from .predicates import descendant_of, descendant_or_self, same_scope
 from .walk import WalkFilter, filtered
 
@@ -25,13 +25,25 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.drop(ANC, REACHED)
 
 
+def has_key(spec: TreeSpec, key) -> Column:
+    if isinstance(key, NodeKey):
+        return (col(spec.id) == F.lit(key.id)) & same_scope(spec, key.scope)
+    return col(spec.id) == F.lit(key)
+
+
 def node(df: DataFrame, spec: TreeSpec, key) -> dict:
-    rows = _stored(df).filter(col(spec.id) == F.lit(key)).limit(1).collect()
+    rows = _stored(df).filter(has_key(spec, key)).limit(2).collect()
     if not rows:
         raise MissingNodeError(key)
+    if len(rows) > 1:
+        raise AmbiguousNodeError(key)
     return rows[0].asDict()
 
 
+def key_of(row: dict, spec: TreeSpec) -> NodeKey:
+    return NodeKey(row[spec.id], scope_of(row, spec))
+
+
 def scope_of(row: dict, spec: TreeSpec) -> tuple:
     return tuple(row[c] for c in spec.scope)
 
@@ -108,17 +120,17 @@ def _place(df: DataFrame, spec: TreeSpec, what, position: int, depth: int, paren
     b = bounds_of(row, spec)
     out = move_band(df, spec, b, position, depth - b.depth, scope)
     kind = dict(df.dtypes)[spec.parent]
-    return _stored(out).withColumn(spec.parent, F.when(col(spec.id) == F.lit(what), F.lit(parent).cast(kind)).otherwise(col(spec.parent)))
+    return _stored(out).withColumn(spec.parent, F.when(has_key(spec, key_of(row, spec)), F.lit(parent).cast(kind)).otherwise(col(spec.parent)))
 
 
 def append_to(df: DataFrame, spec: TreeSpec, what, parent) -> DataFrame:
     row, b = _target(df, spec, parent)
-    return _place(df, spec, what, b.rgt, b.depth + 1, parent, scope_of(row, spec))
+    return _place(df, spec, what, b.rgt, b.depth + 1, row[spec.id], scope_of(row, spec))
 
 
 def prepend_to(df: DataFrame, spec: TreeSpec, what, parent) -> DataFrame:
     row, b = _target(df, spec, parent)
-    return _place(df, spec, what, b.lft + 1, b.depth + 1, parent, scope_of(row, spec))
+    return _place(df, spec, what, b.lft + 1, b.depth + 1, row[spec.id], scope_of(row, spec))
 
 
 def insert_before(df: DataFrame, spec: TreeSpec, what, sibling) -> DataFrame:
@@ -140,7 +152,8 @@ def make_root(df: DataFrame, spec: TreeSpec, what, scope: tuple = ()) -> DataFra
 
 def child_bounds(df: DataFrame, spec: TreeSpec, parent) -> DataFrame:
     """Direct children's ids and bounds in order."""
-    return df.filter(col(spec.parent) == F.lit(parent)).select(col(spec.id), col(spec.lft), col(spec.rgt), col(spec.depth)).orderBy(col(spec.lft))
+    own = (col(spec.parent) == F.lit(parent.id)) & same_scope(spec, parent.scope) if isinstance(parent, NodeKey) else col(spec.parent) == F.lit(parent)
+    return df.filter(own).select(col(spec.id), col(spec.lft), col(spec.rgt), col(spec.depth)).orderBy(col(spec.lft))
 
 
 def move_to(df: DataFrame, spec: TreeSpec, key, parent, position: str | int = "last") -> DataFrame:
@@ -152,8 +165,9 @@ def move_to(df: DataFrame, spec: TreeSpec, key, parent, position: str | int = "l
         return append_to(df, spec, key, parent)
     if not isinstance(position, int) or position < 0:
         raise SiblingOrderError(f"no position {position!r}")
-    others = child_bounds(df, spec, parent).filter(col(spec.id) != F.lit(key)).limit(position + 1).collect()
-    return insert_before(df, spec, key, others[position][spec.id]) if position < len(others) else append_to(df, spec, key, parent)
+    moving, target = node(df, spec, key), key_of(node(df, spec, parent), spec)
+    there = child_bounds(df, spec, target).filter(col(spec.id) != F.lit(moving[spec.id])).offset(position).limit(1).collect()
+    return insert_before(df, spec, key, NodeKey(there[0][spec.id], target.scope)) if there else append_to(df, spec, key, target)
 
 
 def shift_siblings(df: DataFrame, spec: TreeSpec, shifts: DataFrame, scope: tuple = ()) -> DataFrame:
@@ -165,7 +179,7 @@ def shift_siblings(df: DataFrame, spec: TreeSpec, shifts: DataFrame, scope: tupl
         return df
     inside = same_scope(spec, scope) & col(spec.lft).between(span["a"], span["z"])
     base = _stored(df)
-    numbered = shifts.select("delta", (F.row_number().over(Window.orderBy("lo"))).cast("long").alias("__shift"))  # one row for each child named
+    numbered = global_rank(shifts, [F.col("lo")], "__rank").select("delta", (F.col("__rank") + 1).alias("__shift"))
     marks = shifts.select(F.col("lo").alias("__at"), F.lit(0).alias("__row"))
     lined = base.filter(inside).withColumns({"__at": col(spec.lft), "__row": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
     banded = running_sums(lined, [F.col("__at"), F.col("__row")], {"__band": F.lit(1) - F.col("__row")}).filter("__row = 1")
@@ -176,11 +190,11 @@ def shift_siblings(df: DataFrame, spec: TreeSpec, shifts: DataFrame, scope: tupl
 
 def reorder_children(df: DataFrame, spec: TreeSpec, parent, ids: Sequence) -> DataFrame:
     """Children in exactly this order: ids must be a permutation of them."""
-    children = child_bounds(df, spec, parent).collect()
-    have = [r[spec.id] for r in children]
-    if len(set(ids)) != len(ids) or set(ids) != set(have):
+    row = node(df, spec, parent)
+    children = child_bounds(df, spec, key_of(row, spec)).limit(len(ids) + 1).collect()  # as many as the caller names
+    if len(set(ids)) != len(ids) or set(ids) != {r[spec.id] for r in children}:
         raise SiblingOrderError("the order must name every child once and nothing else")
-    return _reordered(df, spec, node(df, spec, parent), children, list(ids))
+    return _reordered(df, spec, row, children, list(ids))
 
 
 def _reordered(df: DataFrame, spec: TreeSpec, parent: dict, children: list, ids: list) -> DataFrame:
@@ -196,22 +210,27 @@ def _reordered(df: DataFrame, spec: TreeSpec, parent: dict, children: list, ids:
 
 
 def reorder_children_by(df: DataFrame, spec: TreeSpec, parent, *order: Column) -> DataFrame:
-    """Children sorted by expressions; ties keep their order."""
-    children = child_bounds(df, spec, parent).collect()
-    ids = [r[0] for r in df.filter(col(spec.parent) == F.lit(parent)).orderBy(*order, col(spec.lft)).select(col(spec.id)).collect()]
-    return _reordered(df, spec, node(df, spec, parent), children, ids) if children else df
+    """Children sorted by expressions; ties keep their order.  Children stay on the
+    executors: a running sum of their widths in the new order gives their places."""
+    key = key_of(node(df, spec, parent), spec)
+    children = df.filter((col(spec.parent) == F.lit(key.id)) & same_scope(spec, key.scope))
+    start = children.agg(F.min(col(spec.lft))).first()[0]
+    if start is None:
+        return df
+    width = (col(spec.rgt) - col(spec.lft) + 1).cast("long")
+    placed = running_sums(children, [*order, col(spec.lft)], {"__upto": width})
+    shifts = placed.select(col(spec.lft).alias("lo"), col(spec.rgt).alias("hi"), (F.lit(start) + F.col("__upto") - width - col(spec.lft)).alias("delta"))
+    return shift_siblings(df, spec, shifts, key.scope)
 
 
 def move_to_sibling_position(df: DataFrame, spec: TreeSpec, key, index: int) -> DataFrame:
     row = node(df, spec, key)
     if row[spec.parent] is None:
         raise SiblingOrderError("roots have no sibling position")
-    ids = [r[spec.id] for r in child_bounds(df, spec, row[spec.parent]).collect()]
-    if not 0 <= index < len(ids):
+    parent = NodeKey(row[spec.parent], scope_of(row, spec))
+    if not 0 <= index < child_bounds(df, spec, parent).count():
         raise SiblingOrderError(f"no position {index}")
-    ids.remove(key)
-    ids.insert(index, key)
-    return reorder_children(df, spec, row[spec.parent], ids)
+    return move_to(df, spec, key_of(row, spec), parent, index)
 
 
 def _neighbour(df: DataFrame, spec: TreeSpec, key, step: int):
@@ -220,7 +239,7 @@ def _neighbour(df: DataFrame, spec: TreeSpec, key, step: int):
     same = same_scope(spec, scope_of(row, spec)) & col(spec.parent).eqNullSafe(F.lit(row[spec.parent]))
     edge = col(spec.lft) == b.rgt + 1 if step > 0 else col(spec.rgt) == b.lft - 1
     hit = df.filter(same & edge).select(col(spec.id)).limit(1).collect()
-    return hit[0][0] if hit else None
+    return NodeKey(hit[0][0], scope_of(row, spec)) if hit else None
 
 
 def up(df: DataFrame, spec: TreeSpec, key) -> tuple[DataFrame, bool]:
@@ -254,7 +273,7 @@ def restore(df: DataFrame, spec: TreeSpec, key) -> DataFrame:
     row = node(df, spec, key)
     if row[spec.deleted] is None:
         return df
-    if row[spec.parent] is not None and node(df, spec, row[spec.parent])[spec.deleted] is not None:
+    if row[spec.parent] is not None and node(df, spec, NodeKey(row[spec.parent], scope_of(row, spec)))[spec.deleted] is not None:
         raise TrashedAncestorError(key)
     hit = same_scope(spec, scope_of(row, spec)) & descendant_or_self(spec, bounds_of(row, spec)) & (col(spec.deleted) == F.lit(row[spec.deleted]))
     return df.withColumn(spec.deleted, F.when(hit, F.lit(None)).otherwise(col(spec.deleted)))
@@ -264,12 +283,13 @@ def clone_subtree(df: DataFrame, spec: TreeSpec, key, parent=None, new_id: Calla
     """Copy a subtree below ``parent`` (as a new root without one).  ``new_id`` makes
     keys of the copies; columns in ``drop`` and the deletion stamp become null."""
     row = node(df, spec, key)
-    b, scope = bounds_of(row, spec), scope_of(row, spec)
+    key, b, scope = row[spec.id], bounds_of(row, spec), scope_of(row, spec)
     rows = _stored(df).filter(same_scope(spec, scope) & descendant_or_self(spec, b))
     if parent is not None:
         target, t = _target(df, spec, parent)
         if scope_of(target, spec) != scope:
             raise ScopeViolationError(parent)
+        parent = target[spec.id]
         if b.lft <= t.lft <= b.rgt:
             raise CloneTargetError(key)
         at, depth = t.rgt, t.depth + 1
@@ -306,7 +326,7 @@ def bulk_insert(df: DataFrame, spec: TreeSpec, rows: DataFrame, parent=None, sco
     height = 2 * rows.count()
     if parent is not None:
         target, t = _target(df, spec, parent)
-        at, depth, scope = t.rgt, t.depth + 1, scope_of(target, spec)
+        at, depth, scope, parent = t.rgt, t.depth + 1, scope_of(target, spec), target[spec.id]
     else:
         at, depth = (df.filter(same_scope(spec, scope)).agg(F.max(col(spec.rgt))).first()[0] or 0) + 1, 0
     kinds = dict(df.dtypes)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..spec import TreeSpec, col
+from ..spec import TreeSpec, col, scope_key
 from .ranking import global_rank
 from .scratch import materialise
 
@@ -28,13 +28,6 @@ ANC = "__anc"
 REACHED = "__reached"
 
 
-def scope_key(spec: TreeSpec) -> Column:
-    """One value for all scope columns; nulls equal nulls and nothing else."""
-    if not spec.scope:
-        return F.lit("")
-    return F.to_json(F.struct(*[col(c).alias(f"s{i}") for i, c in enumerate(spec.scope)]), {"ignoreNullFields": "false"})
-
-
 def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool, always: bool = False) -> tuple[DataFrame, bool]:
     """Rows (s, node, up, n, lost, [anc, ord]) and whether all ended: rounds stop when
     nobody is open, in a cycle, or (not with ``always``) when paths grow too costly."""
@@ -88,8 +81,9 @@ def build(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = None, alwa
         return F.coalesce(col(name), F.lit(0)).cast(kind) if name in df.columns else F.lit(0).cast(kind)
 
     rows = df.withColumn("__s", scope_key(spec))
-    joined = rows.join(placed, (rows["__s"] == placed.s) & (col(spec.id) == placed.node), "left")
-    has = F.col("node").isNotNull()
+    placed = placed.withColumnsRenamed({"s": "__b_s", "node": "__b_node"})  # a table may have columns of these names
+    joined = rows.join(placed, (F.col("__s") == F.col("__b_s")) & (col(spec.id) == F.col("__b_node")), "left")
+    has = F.col("__b_node").isNotNull()
     return joined.select(
         *[col(c) for c in kept],
         F.when(has, F.col("p_lft")).otherwise(old(spec.lft, "long")).cast("long").alias(spec.lft),

@@ -35,6 +35,21 @@ class TreeSpec:
         return (self.parent, self.lft, self.rgt, self.depth)
 
 
+def scope_key(spec: TreeSpec) -> Column:
+    """One value for all scope columns; nulls equal nulls and nothing else."""
+    if not spec.scope:
+        return F.lit("")
+    return F.to_json(F.struct(*[col(c).alias(f"s{i}") for i, c in enumerate(spec.scope)]), {"ignoreNullFields": "false"})
+
+
+class NodeKey(NamedTuple):
+    """A node by its id and the values of the scope columns.  Wherever a key is taken, a
+    bare id will do if no other scope holds it."""
+
+    id: object
+    scope: tuple = ()
+
+
 class NodeBounds(NamedTuple):
     lft: int
     rgt: int

@@ -78,7 +78,7 @@ class Tree:
 
     def fresh(self, key, agg: Agg, with_trashed: bool = False):
         """One node's fresh aggregate: a filter by its bounds, no roll-up of others."""
-        one = self.df.filter(col(self.spec.id) == F.lit(key))
+        one = self.df.filter(mutate.has_key(self.spec, key))
         inner = mutate.subtree(self.df, self.spec, key)
         row = by_interval(inner, self.spec, [agg], one, with_trashed).first()
         return row[agg.alias] if row else None

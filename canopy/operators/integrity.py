@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.build import ANC, REACHED, build, scope_key
+from ..plans.ranking import sibling_rank
+from ..plans.scratch import materialise
 from ..spec import Agg, TreeSpec, col
+from . import mutate
+from .predicates import descendant_or_self, same_scope
 from .relations import orphans
 from .rollup import NODE, SCOPE, rollup
 
@@ -38,14 +43,13 @@ def collisions(df: DataFrame, spec: TreeSpec) -> DataFrame:
 def overlaps(df: DataFrame, spec: TreeSpec) -> DataFrame:
     """Pairs (a_id, b_id) of partly overlapping intervals, a starting first.
 
-    b overlaps a if a.lft < b.lft < a.rgt < b.rgt.  Only rows that are suspect take
-    part as a or b: in pre-order, a row is suspect if the widest interval that began
-    before it and has not ended before its lft ends before its own rgt, or the other
-    way round.  Suspects meet by buckets of lft.
+    b overlaps a if a.lft < b.lft < a.rgt < b.rgt.  They meet in the bucket of a's right
+    end: a goes to that one, b to every bucket that it covers.  A sound tree never
+    comes here (``_surely_nested``); of an unsound one a row costs its width in buckets.
     """
     rows = df.select(scope_key(spec).alias("s"), col(spec.id).alias("id"), col(spec.lft).alias("l"), col(spec.rgt).alias("r")).filter("l < r")
     span = rows.agg(F.max(F.col("r") - F.col("l")).alias("w"), F.count(F.lit(1)).alias("n"), F.max("r").alias("m")).first()
-    width = max(1, int((span["m"] or 1) // max(1, min(span["n"] or 1, 4096))))
+    width = max(1, int((span["m"] or 1) // max(1, min(span["n"] or 1, 1 << 16))))
     a = rows.select(F.col("s").alias("a_s"), F.col("id").alias("a_id"), F.col("l").alias("a_l"), F.col("r").alias("a_r"))
     # a and b meet in the bucket of a's right end: b begins before it and ends after
     ends = a.withColumn("bucket", F.floor(F.col("a_r") / width))
@@ -61,13 +65,23 @@ def _surely_nested(df: DataFrame, spec: TreeSpec) -> bool:
         return False
     if not _with_parent(df, spec).filter((col(spec.lft) <= F.col("p_lft")) | (col(spec.rgt) >= F.col("p_rgt"))).isEmpty():
         return False
-    w = Window.partitionBy(*[col(c) for c in spec.scope], col(spec.parent)).orderBy(col(spec.lft)).rowsBetween(Window.unboundedPreceding, -1)
-    clash = df.select(col(spec.lft).alias("l"), F.max(col(spec.rgt)).over(w).alias("m")).filter("m >= l")
-    return clash.isEmpty()
+    if not df.filter(col(spec.lft) > col(spec.rgt)).isEmpty():
+        return False
+    # siblings in order: each must end before the next begins
+    slim = df.select(*dict.fromkeys([*spec.scope, spec.parent, spec.lft, spec.rgt]))
+    r = sibling_rank(slim, spec, [col(spec.lft)], "__i").select(scope_key(spec).alias("s"), F.coalesce(F.to_json(F.struct(col(spec.parent).alias("p"))), F.lit("")).alias("up"), "__i", col(spec.lft).alias("l"), col(spec.rgt).alias("r"))
+    before = r.select("s", "up", (F.col("__i") + 1).alias("__i"), F.col("r").alias("m"))
+    return r.join(before, ["s", "up", "__i"]).filter("m >= l").isEmpty()
+
+
+def _tree_of(df: DataFrame, spec: TreeSpec, anchor) -> DataFrame:
+    """The rows of the anchor's scope; all rows without an anchor."""
+    return df if anchor is None else df.filter(same_scope(spec, mutate.scope_of(mutate.node(df, spec, anchor), spec)))
 
 
-def check(df: DataFrame, spec: TreeSpec, name: str) -> DataFrame:
-    """One row (check, n)."""
+def check(df: DataFrame, spec: TreeSpec, name: str, anchor=None) -> DataFrame:
+    """One row (check, n), over the tree that holds ``anchor`` where it is given."""
+    df = _tree_of(df, spec, anchor)
     lft, rgt, depth = col(spec.lft), col(spec.rgt), col(spec.depth)
     match name:
         case "invalid_bounds":
@@ -97,8 +111,9 @@ def check(df: DataFrame, spec: TreeSpec, name: str) -> DataFrame:
     return _one(bad, name)
 
 
-def count_errors(df: DataFrame, spec: TreeSpec, unreachable: bool = False) -> DataFrame:
-    """Rows (check, n) for every check."""
+def count_errors(df: DataFrame, spec: TreeSpec, unreachable: bool = False, anchor=None) -> DataFrame:
+    """Rows (check, n) for every check, over the tree that holds ``anchor`` where given."""
+    df = _tree_of(df, spec, anchor)
     names = [*CHECKS, *(["unreachable"] if unreachable else [])]
     out = check(df, spec, names[0])
     for name in names[1:]:
@@ -106,8 +121,8 @@ def count_errors(df: DataFrame, spec: TreeSpec, unreachable: bool = False) -> Da
     return out
 
 
-def is_broken(df: DataFrame, spec: TreeSpec) -> bool:
-    return bool(count_errors(df, spec).agg(F.sum("n")).first()[0])
+def is_broken(df: DataFrame, spec: TreeSpec, anchor=None) -> bool:
+    return bool(count_errors(df, spec, anchor=anchor).agg(F.sum("n")).first()[0])
 
 
 @dataclass(frozen=True)
@@ -138,19 +153,25 @@ def fix_and_count(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = No
 
 def fix_subtree(df: DataFrame, spec: TreeSpec, anchor, order_by: list[str] | None = None) -> DataFrame:
     """Renumber one subtree from its parent ids: it keeps its start, and all that
-    follows moves by the change of its size."""
-    from ..tree import Tree
+    follows in its scope moves by the change of its size.
 
-    t = Tree(df, spec)
-    bounds = t.bounds(anchor)
-    fresh = build(df.drop(ANC, REACHED), spec, order_by)
-    top = fresh.filter(col(spec.id) == F.lit(anchor)).select(col(spec.lft).alias("l"), col(spec.rgt).alias("r"), col(spec.depth).alias("d")).first()
-    inside = fresh.filter(F.array_contains(ANC, anchor)).select(col(spec.id).alias("i_id"), (col(spec.lft) - top["l"] + bounds.lft).alias("i_l"), (col(spec.rgt) - top["l"] + bounds.lft).alias("i_r"), (col(spec.depth) - top["d"] + bounds.depth).alias("i_d"))
-    delta = (top["r"] - top["l"]) - (bounds.rgt - bounds.lft)
-    j = df.drop(ANC, REACHED).join(inside, col(spec.id) == F.col("i_id"), "left")
+    The scope is numbered anew; what then lies between the anchor's fresh bounds is
+    its subtree, so that no paths are needed, however deep it is.
+    """
+    row = mutate.node(df, spec, anchor)
+    key, bounds, scope = mutate.key_of(row, spec), mutate.bounds_of(row, spec), mutate.scope_of(row, spec)
+    own = same_scope(spec, scope)
+    rows = df.drop(ANC, REACHED)
+    slim = rows.filter(own).select(*dict.fromkeys([*spec.scope, spec.id, spec.parent, spec.lft, *(order_by or [])]))
+    fresh = materialise(build(slim.drop(spec.lft) if spec.lft not in (order_by or []) else slim, spec, order_by).filter(F.col(REACHED)).drop(ANC, REACHED), "renumbered")
+    top = mutate.node(fresh, spec, key)
+    new = mutate.bounds_of(top, spec)
+    inside = fresh.filter(descendant_or_self(spec, new)).select(col(spec.id).alias("i_id"), (col(spec.lft) - new.lft + bounds.lft).alias("i_l"), (col(spec.rgt) - new.lft + bounds.lft).alias("i_r"), (col(spec.depth) - new.depth + bounds.depth).alias("i_d"))
+    delta = (new.rgt - new.lft) - (bounds.rgt - bounds.lft)
+    j = rows.join(inside, own & (col(spec.id) == F.col("i_id")), "left")
 
     def tail(name: str) -> Column:
-        return F.when(col(name) > bounds.rgt, col(name) + delta).otherwise(F.when((col(name) == bounds.rgt), bounds.rgt + delta).otherwise(col(name)))
+        return F.when(own & (col(name) >= bounds.rgt), col(name) + delta).otherwise(col(name))
 
     return j.withColumns({spec.lft: F.coalesce("i_l", tail(spec.lft)).cast("long"), spec.rgt: F.coalesce("i_r", tail(spec.rgt)).cast("long"), spec.depth: F.coalesce("i_d", col(spec.depth)).cast("int")}).drop("i_id", "i_l", "i_r", "i_d")
 
@@ -175,25 +196,102 @@ def _literal(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in text)
 
 
-def drift(df: DataFrame, spec: TreeSpec, aggs: list[Agg], with_trashed: bool = False) -> DataFrame:
+def _below(df: DataFrame, spec: TreeSpec, anchor) -> DataFrame:
+    """The anchor and what lies below it; all rows without an anchor."""
+    return df if anchor is None else mutate.subtree(df, spec, anchor)
+
+
+def _fresh(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor, with_trashed: bool = False) -> DataFrame:
+    """Fresh values (scope, node, __f_...), of the anchor's subtree only where given:
+    a node's values come from below it, so nothing else is read."""
+    rows = _below(df, spec, anchor)
+    if anchor is not None:
+        rows = rows.drop(ANC, REACHED).withColumn(spec.parent, F.when(~mutate.has_key(spec, anchor), col(spec.parent)))
+    fresh = rollup(rows, spec, aggs, with_trashed=with_trashed)
+    return fresh.select(SCOPE, NODE, *[F.col(a.alias).alias(f"__f_{a.alias}") for a in aggs])
+
+
+def drift(df: DataFrame, spec: TreeSpec, aggs: list[Agg], with_trashed: bool = False, anchor=None) -> DataFrame:
     """Stored rows whose stored aggregate is not its fresh value: columns s, node and
-    for each aggregate whether it drifted."""
-    fresh = rollup(df, spec, aggs, with_trashed=with_trashed)
-    kinds = dict(fresh.dtypes)
-    renamed = fresh.select(SCOPE, NODE, *[F.col(a.alias).alias(f"__f_{a.alias}") for a in aggs])
-    j = df.withColumn("__k", scope_key(spec)).join(renamed, (F.col("__k") == F.col(SCOPE)) & (col(spec.id) == F.col(NODE)))
+    for each aggregate whether it drifted; below ``anchor`` where it is given."""
+    fresh = _fresh(df, spec, aggs, anchor, with_trashed)
+    kinds = {a.alias: dict(fresh.dtypes)[f"__f_{a.alias}"] for a in aggs}
+    j = df.withColumn("__k", scope_key(spec)).join(fresh, (F.col("__k") == F.col(SCOPE)) & (col(spec.id) == F.col(NODE)))
     return j.select(SCOPE, NODE, *[(~values_equal(a, col(a.alias), F.col(f"__f_{a.alias}"), kinds[a.alias])).alias(a.alias) for a in aggs])
 
 
-def aggregate_errors(df: DataFrame, spec: TreeSpec, aggs: list[Agg]) -> DataFrame:
+def aggregate_errors(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=None) -> DataFrame:
     """One row: for each aggregate the number of rows that drifted."""
-    return drift(df, spec, aggs).agg(*[F.count_if(F.col(a.alias)).alias(a.alias) for a in aggs])
+    return drift(df, spec, aggs, anchor=anchor).agg(*[F.count_if(F.col(a.alias)).alias(a.alias) for a in aggs])
+
+
+def aggregates_are_broken(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=None) -> bool:
+    return any(aggregate_errors(df, spec, aggs, anchor).first())
+
+
+def fix_aggregates(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=None) -> DataFrame:
+    """``df`` with every aggregate column fresh, below ``anchor`` where it is given;
+    unreached rows keep theirs."""
+    return _overwritten(df, spec, aggs, _fresh(df, spec, aggs, anchor))
 
 
-def fix_aggregates(df: DataFrame, spec: TreeSpec, aggs: list[Agg]) -> DataFrame:
-    """``df`` with every aggregate column fresh; unreached rows keep theirs."""
-    fresh = rollup(df, spec, aggs).select(SCOPE, NODE, *[F.col(a.alias).alias(f"__f_{a.alias}") for a in aggs])
+def _overwritten(df: DataFrame, spec: TreeSpec, aggs: list[Agg], fresh: DataFrame) -> DataFrame:
     j = df.withColumn("__k", scope_key(spec)).join(fresh, (F.col("__k") == F.col(SCOPE)) & (col(spec.id) == F.col(NODE)), "left")
     known = F.col(NODE).isNotNull()
     out = j.withColumns({a.alias: F.when(known, F.col(f"__f_{a.alias}")).otherwise(col(a.alias)) if a.alias in df.columns else F.col(f"__f_{a.alias}") for a in aggs})
     return out.select(*[col(c) for c in df.columns], *[F.col(a.alias) for a in aggs if a.alias not in df.columns])
+
+
+@dataclass(frozen=True)
+class Chunk:
+    """One step of a repair: its number, what it corrected and whether more follow."""
+
+    number: int
+    rows_updated: int
+    per_column: dict[str, int]
+    more: bool
+
+
+@dataclass(frozen=True)
+class AggregateRepair:
+    tree: DataFrame
+    rows_updated: int
+    per_column: dict[str, int]
+    chunks: int
+
+
+def repair_aggregates(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=None, chunk_rows: int | None = None, on_chunk: Callable[[Chunk], None] | None = None, done: int = 0) -> AggregateRepair:
+    """Drifted aggregates made right and counted.
+
+    Drift is found once; the rows to correct are then taken in chunks of about
+    ``chunk_rows``, dealt by a hash of their key, each written before ``on_chunk``
+    hears of it.  A job that stops early goes on from chunk ``done``.  The tree
+    that results has every chunk's corrections, those of earlier runs included.
+    """
+    fresh = materialise(_fresh(df, spec, aggs, anchor), "fresh")
+    kinds = {a.alias: dict(fresh.dtypes)[f"__f_{a.alias}"] for a in aggs}
+    j = df.withColumn("__k", scope_key(spec)).join(fresh, (F.col("__k") == F.col(SCOPE)) & (col(spec.id) == F.col(NODE)))
+    wrong = {a.alias: ~values_equal(a, col(a.alias), F.col(f"__f_{a.alias}"), kinds[a.alias]) for a in aggs}
+    any_wrong = F.lit(False)
+    for w in wrong.values():
+        any_wrong = any_wrong | w
+    hits = materialise(j.filter(any_wrong).select(SCOPE, NODE, *[F.col(f"__f_{a.alias}") for a in aggs], *[w.alias(f"__w_{c}") for c, w in wrong.items()]), "drift")
+    total = hits.count()
+    n = 1 if not chunk_rows else max(1, -(-total // chunk_rows))
+    each = hits.withColumn("__chunk", F.pmod(F.xxhash64(SCOPE, NODE), F.lit(n)).cast("int"))
+    counted = {r["__chunk"]: r for r in each.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(f"__w_{a.alias}")).alias(a.alias) for a in aggs]).collect()}  # one row for each chunk
+    fixed = []
+    for k in range(n):
+        part = each.filter(F.col("__chunk") == k).select(SCOPE, NODE, *[f"__f_{a.alias}" for a in aggs])
+        if k < done or n == 1:
+            fixed.append(part)
+        else:
+            fixed.append(materialise(part, "chunk"))
+        if k >= done and on_chunk:
+            r = counted.get(k)
+            on_chunk(Chunk(k, r["__n"] if r else 0, {a.alias: r[a.alias] if r else 0 for a in aggs}, k + 1 < n))
+    rows = fixed[0]
+    for part in fixed[1:]:
+        rows = rows.union(part)
+    per_column = {a.alias: sum(r[a.alias] for r in counted.values()) for a in aggs}
+    return AggregateRepair(_overwritten(df, spec, aggs, rows), total, per_column, n)

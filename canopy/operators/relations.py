@@ -3,7 +3,7 @@ nodes come from the ancestor closure by equality of keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.build import ANC, scope_key
@@ -84,12 +84,12 @@ def orphans(df: DataFrame, spec: TreeSpec) -> DataFrame:
 
 
 def siblings(df: DataFrame, spec: TreeSpec, following: bool, name: str) -> DataFrame:
-    """Rows with the id of the adjacent sibling; null at the edge and across a gap."""
-    w = Window.partitionBy(*[col(c) for c in spec.scope], col(spec.parent)).orderBy(col(spec.lft))
-    if following:
-        there = F.lead(col(spec.lft)).over(w) == col(spec.rgt) + 1
-        other = F.lead(col(spec.id)).over(w)
-    else:
-        there = F.lag(col(spec.rgt)).over(w) == col(spec.lft) - 1
-        other = F.lag(col(spec.id)).over(w)
-    return df.withColumn(name, F.when(there, other))
+    """Rows with the id of the adjacent sibling; null at the edge and across a gap.  The
+    sibling begins where the row ends, or ends where it begins: an equality join."""
+    mine, theirs = (spec.rgt, spec.lft) if following else (spec.lft, spec.rgt)
+    o = df.select(scope_key(spec).alias("o_s"), col(spec.parent).alias("o_up"), col(theirs).alias("o_at"), col(spec.id).alias("o_id"))
+    o = o.groupBy("o_s", "o_up", "o_at").agg(F.min("o_id").alias("o_id"))
+    at = col(mine) + (1 if following else -1)
+    rows = df.withColumn("__s", scope_key(spec))
+    on = (F.col("__s") == F.col("o_s")) & (at == F.col("o_at")) & col(spec.parent).eqNullSafe(F.col("o_up"))
+    return rows.join(o, on, "left").withColumn(name, F.col("o_id")).drop("__s", "o_s", "o_up", "o_at", "o_id")

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.build import ANC, scope_key
+from ..plans.ranking import sibling_rank
 from ..spec import TreeSpec, col
 from .closure import closure, with_paths
 
@@ -60,13 +61,9 @@ def with_context(df: DataFrame, spec: TreeSpec) -> DataFrame:
     """Rows with walk_depth, sibling_index, sibling_count, is_first, is_last and
     path_to_root (ids between the root and the node, both excluded)."""
     rows = with_paths(df, spec)
-    scope = [col(c) for c in spec.scope]
-    w = Window.partitionBy(*scope, col(spec.parent))
     top = rows.groupBy(scope_key(spec).alias("t_s")).agg(F.min(col(spec.depth)).alias("__top"))
     j = rows.withColumn("__s", scope_key(spec)).join(top, F.col("__s") == F.col("t_s"))
-    index = F.row_number().over(w.orderBy(col(spec.lft))) - 1
-    count = F.count(F.lit(1)).over(w)
-    out = j.withColumns({"walk_depth": (col(spec.depth) - F.col("__top")).cast("int"), "sibling_index": index.cast("long"), "sibling_count": count.cast("long")})
+    out = sibling_rank(j, spec, [col(spec.lft)], "sibling_index", "sibling_count").withColumn("walk_depth", (col(spec.depth) - F.col("__top")).cast("int"))
     inner = F.slice(ANC, F.lit(2), F.greatest(F.size(ANC) - 2, F.lit(0)))
     return out.withColumns({"is_first": F.col("sibling_index") == 0, "is_last": F.col("sibling_index") == F.col("sibling_count") - 1, "path_to_root": inner}).drop("__s", "t_s", "__top")
 
@@ -77,9 +74,12 @@ def shape(df: DataFrame, spec: TreeSpec) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("nodes"), (F.max(col(spec.depth)) - F.min(col(spec.depth))).cast("int").alias("max_depth"), F.sum(leaf).alias("leaves"))
 
 
-def visit(df: DataFrame, spec: TreeSpec, visitor: Callable[[Row], Signal | None], strategy: str = "pre") -> Iterator[Row]:
+def visit(df: DataFrame, spec: TreeSpec, visitor: Callable[[Row], Signal | None], strategy: str = "pre", walk: WalkFilter | None = None) -> Iterator[Row]:
     """Rows in walk order, one partition at a time, until the visitor stops; after
-    SKIP_SUBTREE nothing below that node comes (pre-order and breadth-first)."""
+    SKIP_SUBTREE nothing below that node comes (pre-order and breadth-first).  What
+    ``walk`` prunes never leaves the executors."""
+    if walk is not None:
+        df = filtered(df, spec, walk)
     skipped: dict[tuple, list[tuple[int, int]]] = {}
     for row in ordered(df.drop(ANC), spec, strategy).toLocalIterator(prefetchPartitions=True):
         scope = tuple(row[c] for c in spec.scope)

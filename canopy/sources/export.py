@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CorruptTreeError
-from ..operators.closure import closure
-from ..plans.build import REACHED, build, scope_key
+from ..operators.closure import closure, with_paths
+from ..plans.build import ANC, REACHED, build, scope_key
+from ..plans.ranking import global_rank
 from ..spec import TreeSpec, col
 
 
@@ -48,8 +49,9 @@ def ascii_lines(df: DataFrame, spec: TreeSpec, label: Column | None = None, unic
     bar, tee, corner, gap = ("│   ", "├── ", "└── ", "    ") if unicode else ("|   ", "|-- ", "`-- ", "    ")
     if max_depth is not None:
         rows = rows.filter(col(spec.depth) <= max_depth)
-    w = Window.partitionBy(scope_key(spec), col(spec.parent))
-    flagged = rows.withColumn("__last", col(spec.lft) == F.max(col(spec.lft)).over(w))
+    ends = rows.groupBy(scope_key(spec).alias("e_s"), col(spec.parent).alias("e_up")).agg(F.max(col(spec.lft)).alias("e_lft"))
+    on = (scope_key(spec) == F.col("e_s")) & col(spec.parent).eqNullSafe(F.col("e_up"))
+    flagged = rows.join(ends, on).withColumn("__last", col(spec.lft) == F.col("e_lft")).drop("e_s", "e_up", "e_lft")
     flags = flagged.select(scope_key(spec).alias("f_s"), col(spec.id).alias("f_id"), col(spec.depth).alias("f_d"), F.col("__last").alias("f_last"))
 
     pairs = closure(flagged, spec, [spec.id, spec.depth, spec.lft])
@@ -107,33 +109,35 @@ def text(lines: DataFrame, spec: TreeSpec) -> str:
     return "\n".join(r["line"] for r in lines.orderBy(*[col(c) for c in order]).toLocalIterator())
 
 
-def json_nodes(df: DataFrame, spec: TreeSpec, label: Column | None = None, extras: tuple[str, ...] = ()) -> DataFrame:
-    """Nested payloads, bottom-up: (s, id, depth, node) with ``node`` the JSON of the
-    whole subtree.  One join for each level; a payload is as large as its subtree."""
-    base = df.select(scope_key(spec).alias("s"), col(spec.id).alias("id"), col(spec.parent).alias("up"), col(spec.lft).alias("lft"), col(spec.depth).alias("depth"), F.to_json(F.struct(col(spec.id).alias("id"), _label(spec, label).alias("label"), *[col(e) for e in extras]), {"ignoreNullFields": "false"}).alias("own"))
-    deepest = df.agg(F.max(col(spec.depth))).first()[0] or 0
-
-    def closed(own: Column, children: Column) -> Column:
-        return F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(',"children":['), children, F.lit("]}"))
-
-    level, done = None, []
-    for d in range(deepest, -1, -1):
-        here = base.filter(F.col("depth") == d)
-        if level is None:
-            level = here.withColumn("node", closed(F.col("own"), F.lit("")))
-        else:
-            kids = level.groupBy(F.col("s").alias("k_s"), F.col("up").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lft", "node"))), lambda x: x["node"]), ",").alias("kids"))
-            level = here.join(kids, (here.s == kids.k_s) & (here.id == kids.k), "left").select(*base.columns, closed(F.col("own"), F.coalesce("kids", F.lit(""))).alias("node"))
-        done.append(level.select("s", "id", "depth", "lft", "node"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.union(x)
-    return out
+def json_nodes(df: DataFrame, spec: TreeSpec, label: Column | None = None, extras: tuple[str, ...] = (), tops: bool = False) -> DataFrame:
+    """Nested payloads: (s, id, depth, lft, node) with ``node`` the JSON of the whole
+    subtree, for roots only where ``tops`` is set.
+
+    A node's text opens its object, and closes those that end with it: how many is
+    seen from the depth of the next node in pre-order.  The texts of a subtree in
+    order are its payload, which is as large as its subtree; depth adds no joins.
+    """
+    s, key, depth = scope_key(spec), col(spec.id), col(spec.depth)
+    own = F.to_json(F.struct(key.alias("id"), _label(spec, label).alias("label"), *[col(e) for e in extras]), {"ignoreNullFields": "false"})
+    rows = with_paths(df, spec).withColumns({"__s": s, "__own": F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(',"children":['))})
+    ranked = global_rank(rows.select("__s", key.alias("__id"), col(spec.parent).alias("__up"), col(spec.lft).alias("__lft"), depth.alias("__depth"), "__own", ANC), [F.col("__s"), F.col("__lft")], "__r")
+    nxt = ranked.select((F.col("__r") - 1).alias("__r"), F.col("__s").alias("n_s"), F.col("__depth").alias("n_depth"))
+    up = ranked.select(F.col("__s").alias("u_s"), F.col("__id").alias("u_id"), F.col("__lft").alias("u_lft"))
+    j = ranked.join(nxt, "__r", "left").join(up, (F.col("__s") == F.col("u_s")) & (F.col("__up") == F.col("u_id")), "left")
+    flat = j.select("__s", "__id", "__lft", "__depth", "__own", F.when(F.col("n_s") == F.col("__s"), F.col("n_depth")).alias("next"), (F.col("__lft") > F.col("u_lft") + 1).alias("later"), ANC)
+    over = F.posexplode(F.slice(ANC, F.lit(1), F.lit(1)) if tops else F.col(ANC)).alias("at", "anc")  # ancestors in order of depth
+    pairs = flat.select("__s", "__id", "__lft", "__depth", "__own", "next", "later", F.size(ANC).alias("size"), over)
+    top = F.col("__depth") - (F.col("size") - 1 - F.col("at"))
+    ends = F.when(F.col("next") > top, F.col("__depth") - F.col("next") + 1).otherwise(F.col("__depth") - top + 1)
+    comma = F.when((F.col("__id") != F.col("anc")) & F.coalesce("later", F.lit(False)), ",").otherwise("")
+    piece = F.concat(comma, F.col("__own"), F.repeat(F.lit("]}"), F.greatest(ends, F.lit(0)).cast("int")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__lft").alias("l"), piece.alias("p")))), lambda x: x["p"]), "")
+    return pairs.groupBy(F.col("__s").alias("s"), F.col("anc").alias("id")).agg(F.min(top).cast("int").alias("depth"), F.min("__lft").alias("lft"), whole.alias("node"))
 
 
 def to_json(df: DataFrame, spec: TreeSpec, label: Column | None = None, extras: tuple[str, ...] = (), scope: tuple | None = None) -> str:
     """The tree, or list of trees, of a bounded table as JSON text."""
-    rows = json_nodes(_scoped(df, spec, scope), spec, label, extras).filter("depth = 0").orderBy("s", "lft").collect()
+    rows = json_nodes(_scoped(df, spec, scope), spec, label, extras, tops=True).orderBy("s", "lft").collect()
     nodes = [json.loads(r["node"]) for r in rows]
     return json.dumps(nodes[0] if len(nodes) == 1 else nodes, ensure_ascii=False)
 

@@ -13,14 +13,14 @@ from .errors import TreeError
 from .functions.aggregates import truth
 from .functions.scalars import rewrite_prefix, slug
 from .operators import diff as tree_diff
-from .operators import incremental, integrity, mutate, paths, predicates, relations, walk
+from .operators import forest, incremental, integrity, mutate, paths, predicates, relations, walk
 from .operators.rollup import NODE, SCOPE, by_interval
 from .plans.build import ANC, build
 from .plans.ranking import global_rank
 from .plans.scratch import materialise
 from .sources import datasets as data
 from .sources import export, generator, json_tree
-from .spec import Agg, Filter, TreeSpec
+from .spec import Agg, Filter, NodeKey, TreeSpec
 from .streaming.change_feed import maintain
 from .tree import Tree
 
@@ -102,6 +102,15 @@ def s3b(spark, sf):
     return spark.createDataFrame(rows, "fault string, error string")
 
 
+@query("S3_below", sql.heap("""SELECT id, parent_id, name FROM t
+UNION ALL SELECT m + 1, 4, 'a' FROM (SELECT max(id) AS m FROM t) UNION ALL SELECT m + 2, m + 1, 'b' FROM (SELECT max(id) AS m FROM t)
+UNION ALL SELECT m + 3, m + 2, 'c' FROM (SELECT max(id) AS m FROM t) UNION ALL SELECT m + 4, m + 1, 'e' FROM (SELECT max(id) AS m FROM t) UNION ALL SELECT m + 5, 4, 'f' FROM (SELECT max(id) AS m FROM t)"""))
+def s3_below(spark, sf):
+    """A document imported below a node of the table."""
+    t = data.heap(spark, sf)
+    return json_tree.import_below(t.df, t.spec, _DOC, _SCHEMA, ANCHOR, include_keys=False).select("id", "parent_id", "name")
+
+
 @query("S4", sql.heap(sql.JSON_NODES))
 def s4(spark, sf):
     t = data.heap(spark, sf)
@@ -724,6 +733,28 @@ def w9(spark, sf):
     return walk.top_level(t.df.filter("depth >= 3"), t.spec).select("id", "parent_id")
 
 
+@query("W4_filter", sql.heap("SELECT id, lft FROM t WHERE depth <= 2 AND NOT EXISTS (SELECT 1 FROM cl JOIN t AS a ON a.id = cl.anc WHERE cl.node = t.id AND a.size % 7 = 0)"))
+def w4_filter(spark, sf):
+    """A visit of what a filter leaves, in order."""
+    t = data.heap(spark, sf)
+    seen = [(r["id"], r["lft"]) for r in t.walk("visit", lambda r: None, walk=walk.WalkFilter(max_depth=2, where=F.col("size") % 7 != 0))]
+    return spark.createDataFrame(seen, "id long, lft long")
+
+
+@query("W9_flat", sql.heap("SELECT id, CAST(CASE WHEN depth > 3 THEN parent_id END AS BIGINT) AS parent_id, CAST(depth - 3 AS INTEGER) AS depth, row_number() OVER (ORDER BY lft) AS place FROM t WHERE depth >= 3"))
+def w9_flat(spark, sf):
+    t = data.heap(spark, sf)
+    flat = forest.flat_tree(t.df.filter("depth >= 3"), t.spec)
+    return global_rank(flat.select("id", "parent_id", "depth", "lft"), [F.col("lft")], "r").select("id", "parent_id", "depth", (F.col("r") + 1).alias("place"))
+
+
+@query("W9_nested", sql.heap(f"SELECT id, node FROM ({sql.JSON_NODES}) JOIN (SELECT id AS i, parent_id AS up FROM t) ON i = id WHERE up = {ANCHOR}"))
+def w9_nested(spark, sf):
+    """Children of a node as trees of their own."""
+    t = data.heap(spark, sf)
+    return forest.nested_tree(t.df, t.spec, ANCHOR, F.col("name"), ("size",)).select("id", "node")
+
+
 # Integrity and repair
 
 for _id, _checks in (("V1", ["invalid_bounds"]), ("V2", ["duplicate_lft", "duplicate_rgt"]), ("V3", ["orphans"]), ("V4", ["parent_bounds_mismatch"]), ("V5", ["depth_mismatch"]), ("V6", ["bounds_out_of_range"]), ("V7", ["overlapping_bounds", "even_bounds_width"]), ("V8", ["unreachable"])):
@@ -787,6 +818,47 @@ def v14(spark, sf):
     return integrity.fix_aggregates(t.df, t.spec, aggs).select("id", "total", "most")
 
 
+@query("V9_anchor", sql.conversations("SELECT 'duplicate_lft' AS \"check\", 0 AS n UNION ALL SELECT 'depth_mismatch', CASE WHEN (SELECT count(*) FROM t WHERE conv_id = (SELECT min(conv_id) FROM t)) > 1 THEN 1 ELSE 0 END"))
+def v9_anchor(spark, sf):
+    """Damage in every conversation, counted in that of the anchor."""
+    t = data.conversations(spark, sf)
+    first = t.df.agg(F.min("conv_id")).first()[0]
+    last = t.df.groupBy("conv_id").agg(F.max("id").alias("z"))
+    hurt = t.df.join(last, "conv_id").withColumn("depth", F.when((F.col("id") == F.col("z")) & F.col("parent_id").isNotNull(), F.col("depth") + 5).otherwise(F.col("depth")).cast("int")).drop("z")
+    root = t.df.filter((F.col("conv_id") == first) & F.col("parent_id").isNull()).first()["id"]
+    out = integrity.count_errors(hurt, t.spec, anchor=NodeKey(root, (first,)))
+    return out.filter(F.col("check").isin("duplicate_lft", "depth_mismatch"))
+
+
+@query("V12_anchor", sql.heap(f"SELECT count(*) FILTER (id % 9 = 2 AND id IN (SELECT node FROM cl WHERE anc = {ANCHOR})) AS repaired, count(*) FILTER (id % 9 = 2 AND id NOT IN (SELECT node FROM cl WHERE anc = {ANCHOR})) AS wrong FROM t"))
+def v12_anchor(spark, sf):
+    t = data.heap(spark, sf)
+    p = paths.PathSpec.key("path", t.spec)
+    stored = paths.assemble(t.df, t.spec, p).withColumn("path", F.when(F.col("id") % 9 == 2, F.lit("/wrong/")).otherwise(F.col("path")))
+    fixed, repaired = paths.fix_paths(stored, t.spec, p, ANCHOR)
+    return fixed.agg(F.lit(repaired).cast("long").alias("repaired"), F.count_if(F.col("path") == "/wrong/").alias("wrong"))
+
+
+@query("V13_anchor", sql.heap(f"SELECT count(*) FILTER (id % 11 = 3) AS total, count(*) FILTER (id % 13 = 4) AS most FROM t WHERE id IN (SELECT node FROM cl WHERE anc = {ANCHOR})"))
+def v13_anchor(spark, sf):
+    t, aggs = _stored(spark, sf)
+    return t.check("aggregate_errors", aggs, ANCHOR)
+
+
+@query("V14_anchor", sql.heap(f"SELECT anc AS id, CAST(sum(size) + CASE WHEN anc % 11 = 3 AND anc NOT IN (SELECT node FROM cl WHERE anc = {ANCHOR}) THEN 1 ELSE 0 END AS BIGINT) AS total {_JOIN}"))
+def v14_anchor(spark, sf):
+    """Only the anchor's subtree is repaired."""
+    t, aggs = _stored(spark, sf)
+    return integrity.fix_aggregates(t.df, t.spec, aggs[:1], ANCHOR).select("id", "total")
+
+
+@query("V14_counts", sql.heap("SELECT count(*) FILTER (id % 11 = 3 OR id % 13 = 4) AS rows_updated, count(*) FILTER (id % 11 = 3) AS total, count(*) FILTER (id % 13 = 4) AS most FROM t"))
+def v14_counts(spark, sf):
+    t, aggs = _stored(spark, sf)
+    done = integrity.repair_aggregates(t.df, t.spec, aggs)
+    return spark.createDataFrame([(done.rows_updated, done.per_column["total"], done.per_column["most"])], "rows_updated long, total long, most long")
+
+
 @query("V15", "SELECT * FROM (VALUES ('near', true), ('far', false), ('large', true), ('nulls', true), ('one null', false), ('set', true)) AS v(pair, same)")
 def v15(spark, sf):
     num, text = Agg.avg("x").into("x"), Agg.string_agg("x").distinct().into("x")
@@ -827,6 +899,25 @@ def h4(spark, sf):
     return p.select("id", rewrite_prefix(F.col("path"), F.lit("/0/1/4/"), F.lit("/0/1/moved/")).alias("path"))
 
 
+_MOVED_PATH = "SELECT cl.node AS id, '/' || CASE WHEN cl.node IN (SELECT node FROM cl WHERE anc = 4) THEN '0/2/4' || coalesce('/' || string_agg(CAST(a.id AS VARCHAR), '/' ORDER BY cl.dist DESC) FILTER (a.id <> 4 AND a.id IN (SELECT node FROM cl WHERE anc = 4)), '') ELSE string_agg(CAST(a.id AS VARCHAR), '/' ORDER BY cl.dist DESC) END || '/' AS path FROM cl JOIN t AS a ON a.id = cl.anc GROUP BY cl.node"
+
+
+@query("H4_move", sql.heap(_MOVED_PATH))
+def h4_move(spark, sf):
+    """A moved subtree's paths follow."""
+    t = data.heap(spark, sf)
+    p = paths.PathSpec.key("path", t.spec)
+    return paths.rewritten(t.path(p).df, t.spec, p, ANCHOR, lambda d: mutate.append_to(d, t.spec, ANCHOR, 2)).select("id", "path")
+
+
+@query("H4_rename", sql.heap("SELECT cl.node AS id, '/' || string_agg(CASE WHEN a.id = 4 THEN 'renamed' ELSE a.brand END, '/' ORDER BY cl.dist DESC) || '/' AS path FROM cl JOIN t AS a ON a.id = cl.anc GROUP BY cl.node"))
+def h4_rename(spark, sf):
+    t = data.heap(spark, sf)
+    p = paths.PathSpec.attribute("path", "brand")
+    rename = lambda d: d.withColumn("brand", F.when(F.col("id") == ANCHOR, "renamed").otherwise(F.col("brand")))
+    return paths.rewritten(t.path(p).df, t.spec, p, ANCHOR, rename).select("id", "path")
+
+
 @query("slug", "SELECT CAST(p_partkey AS BIGINT) AS id, regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
 def slugs(spark, sf):
     return data.heap_rows(spark, sf).select("id", slug(F.concat("name", F.lit(" & "), "brand")).alias("slug"))
@@ -945,6 +1036,100 @@ def l6(spark, sf):
     return mutate.delete(incremental.apply_deltas(t.df, t.spec, off, {"total": "d"}), t.spec, 40).select("id", "total")
 
 
+_KEPT = [Agg.sum("size").into("total"), Agg.max("size").into("most"), Agg.min("size").into("least")]
+_UP = "SELECT anc AS id, CAST(sum(size) AS BIGINT) AS total, max(size) AS most, min(size) AS least"
+
+
+@query("L6_move", sql.heap(f"{_UP} FROM (SELECT * FROM cl WHERE NOT (node IN (SELECT node FROM cl WHERE anc = 40) AND anc NOT IN (SELECT node FROM cl WHERE anc = 40)) UNION ALL SELECT s.node, c.anc, 0 FROM (SELECT node FROM cl WHERE anc = 40) AS s, (SELECT anc FROM cl WHERE node = 5) AS c) AS m JOIN t ON t.id = m.node GROUP BY anc"))
+def l6_move(spark, sf):
+    """A moved subtree takes its totals off the old chain and onto the new one."""
+    t = _totals(spark, sf)
+    return incremental.on_move(t.df, t.spec, _KEPT, 40, lambda d: mutate.append_to(d, t.spec, 40, 5)).select("id", "total", "most", "least")
+
+
+@query("L6_create", sql.heap(f"{_UP} FROM (SELECT anc, size FROM cl JOIN t ON t.id = cl.node UNION ALL SELECT anc, 99 FROM cl WHERE node = 40 UNION ALL SELECT 99999999, 99) GROUP BY anc"))
+def l6_create(spark, sf):
+    t = _totals(spark, sf)
+    new = {"id": 99999999, "size": 99}
+    return incremental.on_create(t.df, t.spec, _KEPT, 99999999, lambda d: mutate.append_to(d, t.spec, new, 40)).select("id", "total", "most", "least")
+
+
+@query("L6_restore", sql.heap(f"{_UP} FROM cl JOIN t ON t.id = cl.node GROUP BY anc"))
+def l6_restore(spark, sf):
+    """Deleted softly and restored: every chain is as it was."""
+    t = _totals(spark, sf)
+    spec = TreeSpec(deleted="deleted_at")
+    rows = t.df.withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    gone = incremental.on_delete(rows, spec, _KEPT, 40, lambda d: mutate.soft_delete(d, spec, 40, datetime(2024, 5, 5)))
+    return incremental.on_restore(gone, spec, _KEPT, 40).select("id", "total", "most", "least")
+
+
+_TURNS = "SELECT cl.conv_id, anc AS id, CAST(sum(length {more}) AS BIGINT) AS total FROM cl JOIN t ON t.conv_id = cl.conv_id AND t.id = cl.node GROUP BY cl.conv_id, anc"
+
+
+def _turns(spark, sf) -> Tree:
+    """Conversations, whose turns have the same ids in each, with stored totals."""
+    t = data.conversations(spark, sf)
+    return Tree(t.with_fresh(Agg.sum("length").into("total"), Agg.max("length").into("most")), t.spec)
+
+
+def _turn_deltas(t: Tree) -> DataFrame:
+    return t.df.filter("conv_id % 3 = 0 AND length > 40").select("conv_id", "id", F.col("length").alias("d"))
+
+
+@query("L1_scoped", sql.conversations(_TURNS.format(more="+ CASE WHEN cl.conv_id % 3 = 0 AND length > 40 THEN length ELSE 0 END")))
+def l1_scoped(spark, sf):
+    t = _turns(spark, sf)
+    return t.maintain("apply_deltas", _turn_deltas(t), {"total": "d"}).df.select("conv_id", "id", "total")
+
+
+@query("L3_scoped", sql.conversations("SELECT cl.conv_id, anc AS id, max(CASE WHEN cl.conv_id % 3 = 0 AND length > 40 THEN length + 1000 ELSE length END) AS most FROM cl JOIN t ON t.conv_id = cl.conv_id AND t.id = cl.node GROUP BY cl.conv_id, anc"))
+def l3_scoped(spark, sf):
+    t = _turns(spark, sf)
+    added = t.df.filter("conv_id % 3 = 0 AND length > 40").select("conv_id", "id", (F.col("length") + 1000).alias("length"))
+    return incremental.push_extremes(t.df, t.spec, added, "length", high="most").select("conv_id", "id", "most")
+
+
+@query("L5_scoped", sql.conversations("SELECT t.conv_id, t.id, CASE WHEN t.conv_id % 2 = 0 AND t.i <= (SELECT max(u.i) FROM t AS u WHERE u.conv_id = t.conv_id AND u.length > 40) THEN NULL ELSE CAST(-1 AS BIGINT) END AS total FROM t"))
+def l5_scoped(spark, sf):
+    t = data.conversations(spark, sf)
+    lazy = Agg.sum("length").as_lazy().into("total")
+    rows = t.df.withColumns({"total": F.lit(-1).cast("long"), incremental.stamp_of(lazy): F.lit(datetime(2024, 5, 5))})
+    return incremental.invalidate(rows, t.spec, t.df.filter("conv_id % 2 = 0 AND length > 40"), [lazy]).select("conv_id", "id", "total")
+
+
+def _first(t: Tree) -> NodeKey:
+    """The second turn of the first conversation that has one."""
+    r = t.df.filter("parent_id IS NOT NULL").orderBy("conv_id", "lft").select("conv_id", "id").first()
+    return NodeKey(r["id"], (r["conv_id"],))
+
+
+@query("T14_scoped", sql.conversations("SELECT conv_id, id, CASE WHEN conv_id = f THEN 1 ELSE lft END AS lft, CASE WHEN conv_id = f THEN 2 ELSE rgt END AS rgt FROM t, (SELECT min(conv_id) AS f FROM t WHERE i = 2) WHERE conv_id <> f OR i = 1"))
+def t14_scoped(spark, sf):
+    """A deletion in one conversation leaves equal ids of others alone."""
+    t = data.conversations(spark, sf)
+    return mutate.delete(t.df, t.spec, _first(t)).select("conv_id", "id", "lft", "rgt")
+
+
+@query("T8_scoped", sql.conversations("SELECT conv_id, id, CASE WHEN conv_id <> f THEN lft WHEN i = 1 THEN 1 ELSE lft + 1 END AS lft, CASE WHEN conv_id <> f THEN rgt WHEN i = 1 THEN 2 ELSE rgt + 1 END AS rgt FROM t, (SELECT min(conv_id) AS f FROM t WHERE i = 2)"))
+def t8_scoped(spark, sf):
+    """A turn made a root of its own conversation."""
+    t = data.conversations(spark, sf)
+    return mutate.make_root(t.df, t.spec, _first(t)).select("conv_id", "id", "lft", "rgt")
+
+
+@query("D_scoped", sql.conversations("SELECT 'modified' AS kind, conv_id, id FROM t WHERE conv_id % 3 = 0 AND i > 1 AND NOT (conv_id % 5 = 1 AND i = m) UNION ALL SELECT 'removed', conv_id, id FROM t WHERE conv_id % 5 = 1 AND i = m"))
+def d_scoped(spark, sf):
+    """Snapshots whose ids repeat over scopes, compared scope by scope."""
+    t = data.conversations(spark, sf)
+    rows = t.plain()
+    last = rows.groupBy("conv_id").agg(F.max("lft").alias("z"))
+    after = rows.join(last, "conv_id").filter(~((F.col("conv_id") % 5 == 1) & (F.col("lft") == F.col("z")))).drop("z")
+    after = after.withColumn("length", F.when((F.col("conv_id") % 3 == 0) & (F.col("depth") > 0), F.col("length") + 1).otherwise(F.col("length")))
+    out = tree_diff.between(rows, after, t.spec)
+    return out.modified.select(F.lit("modified").alias("kind"), "conv_id", "id").union(out.removed.select(F.lit("removed"), "conv_id", "id"))
+
+
 @query("L7", sql.heap(_SUM.format(x="CASE WHEN t.id = 5 THEN 7 WHEN t.id = 50 THEN 9 ELSE size END")))
 def l7(spark, sf):
     """Several changes, one repair at the end."""
@@ -955,8 +1140,35 @@ def l7(spark, sf):
 
 @query("L8", sql.heap(_SUM.format(x="size")))
 def l8(spark, sf):
+    """A repair in chunks that stops after the second and is taken up again."""
     t, aggs = _stored(spark, sf)
-    return integrity.fix_aggregates(t.df, t.spec, aggs[:1]).select("id", "total")
+    told: list[integrity.Chunk] = []
+
+    def stop(chunk: integrity.Chunk) -> None:
+        told.append(chunk)
+        if len(told) == 2:
+            raise InterruptedError
+
+    try:
+        integrity.repair_aggregates(t.df, t.spec, aggs[:1], chunk_rows=20, on_chunk=stop)
+    except InterruptedError:
+        pass
+    return integrity.repair_aggregates(t.df, t.spec, aggs[:1], chunk_rows=20, on_chunk=told.append, done=len(told)).tree.select("id", "total")
+
+
+@query("stream_scoped", sql.conversations(_TURNS.format(more="+ CASE WHEN cl.conv_id % 3 = 0 AND length > 40 THEN length ELSE 0 END")))
+def stream_scoped(spark, sf):
+    """The change log of many scopes as a stream."""
+    t = _turns(spark, sf)
+    log = materialise(_turn_deltas(t), "log")
+    path = log.inputFiles()[0].rpartition("/")[0]
+    state = [t.df]
+
+    def save(df: DataFrame, number: int) -> None:
+        state[0] = materialise(df, "totals")
+
+    maintain(spark.readStream.schema(log.schema).parquet(path), t.spec, lambda: state[0], save, {"total": "d"}, path + "-checkpoint").awaitTermination()
+    return state[0].select("conv_id", "id", "total")
 
 
 @query("L9", sql.heap("SELECT anc AS id, CAST(sum(t.size) + CASE WHEN any_value(o.size) > 10 THEN coalesce(sum(2 * t.size) FILTER (t.size > 40), 0) ELSE 0 END AS BIGINT) AS total FROM cl JOIN t ON t.id = cl.node JOIN t AS o ON o.id = cl.anc GROUP BY anc"))

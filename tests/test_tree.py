@@ -1,17 +1,19 @@
 """Hand-checked values, shapes and properties of the tree operators."""
 
+import json
 import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.errors import CorruptTreeError, CyclicMoveError, EmptySegmentError, SiblingOrderError, TrashedAncestorError
+from canopy.errors import AmbiguousNodeError, ConfigurationError, CorruptTreeError, CyclicMoveError, EmptySegmentError, ScopeViolationError, SiblingOrderError, TrashedAncestorError
 from canopy.operators import diff, incremental, integrity, mutate, paths, walk
 from canopy.operators.rollup import NODE
+from canopy.plans import scratch
 from canopy.plans.build import ANC, REACHED, build
 from canopy.sources import export, generator, json_tree
-from canopy.spec import Agg, TreeSpec
+from canopy.spec import Agg, NodeKey, TreeSpec
 from canopy.tree import Tree
 
 # id, parent, name, x, w, flag, bits; siblings by id
@@ -210,3 +212,80 @@ def test_incremental_equals_recompute(spark, tree):
     deltas = spark.createDataFrame([(3, 10), (5, -4)], "id long, d long")
     out = {r["id"]: r["s"] for r in incremental.apply_deltas(stored.df, stored.spec, deltas, {"s": "d"}).collect()}
     assert out == {1: 19, 2: 20, 3: 18, 4: 0, 5: -5, 6: 7}
+
+
+def two_scopes(spark):
+    """Two chains with equal ids."""
+    rows = [(s, i, i - 1 if i > 1 else None, 10 * i) for s in ("a", "b") for i in (1, 2, 3)]
+    spec = TreeSpec(scope=("s",))
+    return Tree.from_adjacency(spark.createDataFrame(rows, "s string, id long, parent_id long, x long"), spec), spec
+
+
+def test_equal_ids_of_two_scopes_are_two_nodes(spark):
+    t, spec = two_scopes(spark)
+    total = Tree(t.with_fresh(Agg.sum("x").into("total")), spec)
+    delta = spark.createDataFrame([("a", 2, 1)], "s string, id long, d long")
+    got = {(r["s"], r["id"]): r["total"] for r in incremental.apply_deltas(total.df, spec, delta, {"total": "d"}).collect()}
+    assert got == {("a", 1): 61, ("a", 2): 51, ("a", 3): 30, ("b", 1): 60, ("b", 2): 50, ("b", 3): 30}
+    with pytest.raises(ConfigurationError):
+        incremental.apply_deltas(total.df, spec, delta.drop("s"), {"total": "d"})
+    with pytest.raises(AmbiguousNodeError):
+        t.node(2)
+    left = mutate.delete(t.df, spec, NodeKey(2, ("b",)))
+    assert sorted((r["s"], r["id"], r["lft"], r["rgt"]) for r in left.collect()) == [("a", 1, 1, 6), ("a", 2, 2, 5), ("a", 3, 3, 4), ("b", 1, 1, 2)]
+    moved = mutate.move_to(t.df, spec, NodeKey(3, ("a",)), NodeKey(1, ("a",)), "first")
+    assert {(r["s"], r["id"]): r["parent_id"] for r in moved.collect()} == {("a", 1): None, ("a", 2): 1, ("a", 3): 1, ("b", 1): None, ("b", 2): 1, ("b", 3): 2}
+    with pytest.raises(ScopeViolationError):
+        mutate.append_to(t.df, spec, NodeKey(3, ("a",)), NodeKey(1, ("b",)))
+    hurt = t.df.withColumn("lft", F.when((F.col("s") == "a") & (F.col("id") == 3), 0).otherwise(F.col("lft")))
+    fixed = integrity.fix_subtree(hurt, spec, NodeKey(1, ("a",)))
+    assert sorted((r["s"], r["id"], r["lft"], r["rgt"]) for r in fixed.collect()) == [(s, i, i, 7 - i) for s in "ab" for i in (1, 2, 3)]
+    assert integrity.is_broken(hurt, spec, NodeKey(1, ("a",))) and not integrity.is_broken(hurt, spec, NodeKey(1, ("b",)))
+
+
+def test_a_subtree_of_a_deep_chain_is_repaired(spark):
+    n = 600
+    rows = spark.range(1, n + 1).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
+    t = Tree.from_adjacency(rows)
+    inside = F.col("id") > 300
+    hurt = t.plain().withColumns({c: F.when(inside, F.lit(0)).otherwise(F.col(c)).cast("long") for c in ("lft", "rgt")})
+    fixed = integrity.fix_subtree(hurt, t.spec, 300)
+    assert {(r["id"], r["lft"], r["rgt"], r["depth"]) for r in fixed.collect()} == {(i, i, 2 * n + 1 - i, i - 1) for i in range(1, n + 1)}
+
+
+def test_many_roots_and_their_siblings(spark):
+    n = 20_000
+    t = Tree.from_adjacency(spark.range(n).select("id", F.lit(None).cast("long").alias("parent_id")))
+    last = t.walk("with_context").agg(F.max("sibling_index").alias("i"), F.min("sibling_count").alias("n"), F.count_if("is_last").alias("z")).first()
+    assert tuple(last) == (n - 1, n, 1)
+    assert t.relation("siblings", True, "next").filter(F.col("next") == F.col("id") + 1).count() == n - 1
+    assert not integrity.is_broken(t.plain(), t.spec)
+
+
+def test_json_of_a_deep_tree(spark):
+    n = 200
+    t = Tree.from_adjacency(spark.range(1, n + 1).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id")))
+    text = export.to_json(t.df, t.spec)
+    at, depth = json.loads(text), 0
+    while at["children"]:
+        (at,), depth = at["children"], depth + 1
+    assert depth == n - 1
+
+
+def test_no_shared_folder_on_a_cluster_raises(spark):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ConfigurationError):
+        scratch.shared_dir(Elsewhere)
+    written = scratch.materialise(spark.range(3), "t")
+    again = scratch.materialise(written, "t", instead_of=written)
+    assert again.count() == 3 and not scratch.exists(spark, written._scratch_path)
+
+
+def test_stale_to_the_fraction_of_a_second(spark):
+    lazy = Agg.sum("x").as_lazy(ttl=2).into("total")
+    now = datetime(2024, 1, 1, 0, 0, 10, 500_000)
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 0, 8, 500_000)), (2, datetime(2024, 1, 1, 0, 0, 8, 500_001)), (3, None)], "id long, total_computed_at timestamp")
+    assert sorted(r["id"] for r in rows.filter(incremental.is_stale(lazy, now)).collect()) == [1, 3]

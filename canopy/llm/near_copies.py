@@ -15,8 +15,10 @@ class that is linked already is not compared again:
 3. Prefixes: classes in buckets that still hold several components are joined by their
    rarest shingles.  Two sets of similarity t share one of the first
    n - ceil(2 t / (1 + t) n) + 1 shingles of the smaller and the first
-   m - ceil(t m) + 1 of the larger, in the order of how many classes hold a shingle.
-   So no pair is lost, and what a large group has in common brings no pairs.
+   m - ceil(t m) + 1 of the larger, in the order of how many classes hold a shingle,
+   and from the first that they share on each has t / (1 + t) (n + m) at least.  So no
+   pair is lost.  Texts just below the limit remain candidates: a group of many copies
+   that differ from a common source, but too much from each other, costs pairs.
 
 A pair counts only if its exact similarity, from the 64-bit hashes of all shingles,
 is at least 0.8.
@@ -102,11 +104,13 @@ def _by_prefix(rest: DataFrame, sets: DataFrame) -> DataFrame:
     larger = F.col("n") - F.ceil(F.col("n") * t / d) + 1
     smaller = F.col("n") - F.ceil(F.col("n") * (2 * t) / (d + t)) + 1
     first = ranked.select("cls", "component", "n", smaller.cast("int").alias("smaller"), F.posexplode(F.slice("all", F.lit(1), larger.cast("int"))).alias("at", "x"))
-    rows = materialise(first.filter("x.often > 1").select("cls", "component", "n", F.col("x.h").alias("h"), (F.col("at") < F.col("smaller")).alias("counts")), "prefixes")
-    a = rows.filter("counts").select("h", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
-    b = rows.select(F.col("h").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
+    rows = materialise(first.filter("x.often > 1").select("cls", "component", "n", F.col("x.h").alias("h"), (F.col("at") < F.col("smaller")).alias("counts"), (F.col("n") - F.col("at")).alias("left")), "prefixes")
+    a = rows.filter("counts").select("h", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("left").alias("u_left"))
+    b = rows.select(F.col("h").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("left").alias("v_left"))
+    # from the first shared shingle on, both must have as many as they have in common
+    enough = F.least("u_left", "v_left") * (t + d) >= (F.col("un") + F.col("vn")) * t
     order = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))
-    return a.join(b, (F.col("h") == F.col("other")) & order & (F.col("uc") != F.col("vc")) & _size_fits("un", "vn")).select("u", "v").distinct()
+    return a.join(b, (F.col("h") == F.col("other")) & order & (F.col("uc") != F.col("vc")) & _size_fits("un", "vn") & enough).select("u", "v").distinct()
 
 
 def _size_fits(a: str, b: str):

@@ -116,20 +116,21 @@ class Order:
 
 
 def _dictionary(docs: DataFrame, text: str, path: str, pattern: str) -> bytes:
-    """The ids of at most SAMPLE_TEXTS texts, up to DICTIONARY_BYTES: what sequences
-    share with them is stored as a reference.  Texts stay on the executors."""
+    """The ids of at most SAMPLE_TEXTS texts of one split, up to DICTIONARY_BYTES: what
+    sequences share with them is stored as a reference.  Texts stay on the executors."""
 
     def run(batches):
         encoder, held, size = _encoder(path, pattern), [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if size < DICTIONARY_BYTES:
-                    held.append(np.append(encoder.encode_to_numpy(t or "", disallowed_special=()), END_ID).astype("<u2").tobytes())
-                    size += len(held[-1])
-        yield pa.RecordBatch.from_pydict({"ids": pa.array([b"".join(held)[:DICTIONARY_BYTES]], pa.binary())})
-
-    sample = docs.select(F.col(f"`{text}`").alias("t")).limit(SAMPLE_TEXTS).coalesce(1)
-    return b"".join(bytes(r["ids"]) for r in map_arrow(sample, run, "ids binary").collect())[:DICTIONARY_BYTES]
+        for t in (x for b in batches for x in b.column(0).to_pylist()):
+            held.append(np.append(encoder.encode_to_numpy(t or "", disallowed_special=()), END_ID).astype("<u2").tobytes())
+            size += len(held[-1])
+            if len(held) == SAMPLE_TEXTS or size >= DICTIONARY_BYTES:
+                break
+        if held:
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([b"".join(held)[:DICTIONARY_BYTES]], pa.binary())})
+
+    first = map_arrow(docs.select(F.col(f"`{text}`").alias("t")), run, "ids binary").limit(1).collect()
+    return bytes(first[0]["ids"]) if first else b""
 
 
 def _zstd(dictionary: bytes):

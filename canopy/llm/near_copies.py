@@ -16,9 +16,11 @@ class that is linked already is not compared again:
    rarest shingles.  Two sets of similarity t share one of the first
    n - ceil(2 t / (1 + t) n) + 1 shingles of the smaller and the first
    m - ceil(t m) + 1 of the larger, in the order of how many classes hold a shingle,
-   and from the first that they share on each has t / (1 + t) (n + m) at least.  So no
-   pair is lost.  Texts just below the limit remain candidates: a group of many copies
-   that differ from a common source, but too much from each other, costs pairs.
+   and from the first that they share on each has t / (1 + t) (n + m) at least.  A
+   bitmap of parities bounds from below how many shingles one of the two alone holds
+   (Sandes et al., 2017); that must be (1 - t) / (1 + t) (n + m) at most.  So no pair is
+   lost.  In a group of many copies that differ from a common source, but too much from
+   each other, the join still tests pairs by their bitmaps; few go on to be verified.
 
 A pair counts only if its exact similarity, from the 64-bit hashes of all shingles,
 is at least 0.8.
@@ -46,6 +48,8 @@ SIMILARITY = (4, 5)
 BANDS, BAND_ROWS = 40, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 256
+#: Words of 64 bits in the bitmap of parities of a set; a power of two.
+BITMAP_WORDS = 16
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -96,21 +100,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _by_prefix(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (u, v) among ``rest`` (cls, component, n), of different components,
-    that share a rare shingle as two sets of the least similarity must."""
+    that share a rare shingle as two sets of the least similarity must.  Shingles of one
+    component alone come first in the order; such pairs share none of them."""
     t, d = SIMILARITY
     held = rest.join(sets, "cls").select("cls", "component", "n", F.explode("hashes").alias("h"))
-    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    ranked = held.join(often, "h").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))  # the shingles of one class
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h", "often")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP_WORDS - 1)
+    maps = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(BITMAP_WORDS)]
+    ranked = held.join(often, "h").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("shared"), *maps)  # the shingles of one class
+    lone = F.col("n") - F.size("shared")
     larger = F.col("n") - F.ceil(F.col("n") * t / d) + 1
     smaller = F.col("n") - F.ceil(F.col("n") * (2 * t) / (d + t)) + 1
-    first = ranked.select("cls", "component", "n", smaller.cast("int").alias("smaller"), F.posexplode(F.slice("all", F.lit(1), larger.cast("int"))).alias("at", "x"))
-    rows = materialise(first.filter("x.often > 1").select("cls", "component", "n", F.col("x.h").alias("h"), (F.col("at") < F.col("smaller")).alias("counts"), (F.col("n") - F.col("at")).alias("left")), "prefixes")
-    a = rows.filter("counts").select("h", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("left").alias("u_left"))
-    b = rows.select(F.col("h").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("left").alias("v_left"))
+    words = [f"w{k}" for k in range(BITMAP_WORDS)]
+    first = ranked.select("cls", "component", "n", lone.alias("lone"), (smaller - lone).alias("smaller"), F.size("shared").alias("held"), *words, F.posexplode(F.slice("shared", F.lit(1), F.greatest(larger - lone, F.lit(0)).cast("int"))).alias("at", "x"))
+    rows = materialise(first.select("cls", "component", "n", "lone", F.col("x.h").alias("h"), (F.col("at") < F.col("smaller")).alias("counts"), (F.col("held") - F.col("at")).alias("left"), *words), "prefixes")
+    a = rows.filter("counts").select("h", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("left").alias("u_left"), F.col("lone").alias("u_lone"), *[F.col(w).alias(f"u_{w}") for w in words])
+    b = rows.select(F.col("h").alias("other"), F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("left").alias("v_left"), F.col("lone").alias("v_lone"), *[F.col(w).alias(f"v_{w}") for w in words])
     # from the first shared shingle on, both must have as many as they have in common
     enough = F.least("u_left", "v_left") * (t + d) >= (F.col("un") + F.col("vn")) * t
+    # shingles that one set alone holds: the lone ones, and at least one for each bit that differs
+    apart = F.col("u_lone") + F.col("v_lone")
+    for w in words:
+        apart = apart + F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}")))
+    few = apart * (d + t) <= (F.col("un") + F.col("vn")) * (d - t)
     order = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("u") < F.col("v")))
-    return a.join(b, (F.col("h") == F.col("other")) & order & (F.col("uc") != F.col("vc")) & _size_fits("un", "vn") & enough).select("u", "v").distinct()
+    return a.join(b, (F.col("h") == F.col("other")) & order & (F.col("uc") != F.col("vc")) & _size_fits("un", "vn") & enough & few).select("u", "v").distinct()
 
 
 def _size_fits(a: str, b: str):

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from canopy.llm import near_copies
 
 
 def shingles(text):
@@ -68,3 +69,21 @@ def test_a_dense_group_below_the_limit_loses_no_link(spark):
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert got == brute_kept(docs)
     assert 100 < len(got) < 140
+
+
+def test_copies_too_far_apart_are_seldom_verified(spark, monkeypatch):
+    """Copies of one source at about 0.7, short and long ones: bitmaps rule nearly all
+    pairs out, and the few true pairs among them stay."""
+    rng, asked = random.Random(11), []
+    plain = near_copies._by_prefix
+    monkeypatch.setattr(near_copies, "_by_prefix", lambda *a: asked.append(near_copies.materialise(plain(*a), "asked")) or asked[-1])
+    texts = []
+    for words, copies in (([f"w{rng.randrange(10**6)}" for _ in range(300)], 80), ([f"w{rng.randrange(10**6)}" for _ in range(5000)], 20)):
+        group = [edited(rng, words, 0.021) for _ in range(copies)]
+        texts += group + [edited(rng, t.split(), 0.018) for t in group[::8]]
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == brute_kept(docs)
+    assert len(got) < len(texts)
+    assert asked[0].count() < 400  # of 4,400 pairs

@@ -9,17 +9,20 @@ counts in that of the nearest, its home.  It asks in every shard that can be hom
 a vector within the threshold of it: unit vectors with that cosine lie within a
 distance r, and if y is nearest to centre j and x to centre i, then x lies no further
 than r beyond the plane between the two centres.  So the plan of shards loses no
-pair, wherever a dense group is cut, and counts each once from each side.  A shard's
-members are cut into chunks and those that ask into blocks, and every block meets
-every chunk: no task holds more than about one of each.
+pair, wherever a dense group is cut, and counts each once from each side.  Asking
+costs one walk for each shard within reach, and a walk grows slowly with the shard, so
+shards are as large as a task may hold: a shard is one chunk unless its members exceed
+``CHUNK_ROWS`` or ``CHUNK_BYTES``.  Those that ask are cut into blocks, and every block
+meets every chunk: no task holds more than about one of each.
 
-Graph: in each chunk a vector's nearest candidates are pruned robustly (a candidate
+Graph: in each chunk, a few rows at a time, a vector's nearest candidates are pruned robustly (a candidate
 goes once a chosen neighbour is closer to it by the factor ``ALPHA``), reverse
 edges are added, and the lists from overlapping shards are united.
 
 Search: from a chunk's medoid a greedy search with a bounded list runs for a block
 of queries at once; from every vector within reach it then expands by range until
-nothing new is near.  Each pair is verified by its cosine in double precision.
+nothing new is near.  Walks compare in single precision; each pair is verified by its
+cosine in double precision.
 
 Audit: in every meeting of a block and a chunk the queries whose class number hashes
 to 0 modulo ``AUDIT`` are compared with the whole chunk.  If the search missed one of
@@ -44,8 +47,10 @@ from .common import bounded_batches, materialise, table
 from .components import components, spanning
 
 THRESHOLD = 0.98
-#: Classes that a shard aims at, and the most that a chunk or block holds.
-SHARD_ROWS, BLOCK_ROWS = 1500, 2000
+#: Classes that a shard aims at, and about the most that a chunk holds, in rows and in
+#: bytes of its vectors; classes of a block that asks, and of those that walk at once.
+SHARD_ROWS, CHUNK_ROWS, CHUNK_BYTES = 8000, 20_000, 64 << 20
+BLOCK_ROWS, WALK_ROWS = 4000, 1000
 OVERLAP = 2
 #: Bounds of the fit: sampled vectors and centres, over all labels.
 SAMPLE_ROWS, MAX_CENTRES = 20_000, 4096
@@ -59,8 +64,10 @@ AUDIT = 16
 SEED = 6
 #: Pairs of a query and a vector that one step handles at once.
 _PAIRS = 30_000
-#: Room for rounding where distances to centres are compared.
-_ROUNDING = 1e-6
+#: Distances that ``build`` holds at once.
+_DISTANCES = 4_000_000
+#: Room for rounding where distances to centres, and cosines in single precision, are compared.
+_ROUNDING, _SINGLE = 1e-6, 1e-4
 
 
 def _kind(rows: DataFrame, vector: str) -> str:
@@ -135,12 +142,16 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _prune(distance: np.ndarray, pool: np.ndarray, degree: int) -> np.ndarray:
-    """Edges (n, 2) that robust pruning keeps of each row's candidates."""
+def _prune(x: np.ndarray, own: np.ndarray, pool: np.ndarray, degree: int) -> np.ndarray:
+    """Edges (n, 2) that robust pruning keeps of the candidates ``pool`` of rows ``own``."""
     n, k = pool.shape
-    row = np.arange(n)[:, None]
-    pool = pool[row, np.argsort(distance[row, pool], axis=1, kind="stable")]
-    to_self = distance[row, pool]
+    row = np.arange(n)
+    to_self = 2.0 - 2.0 * np.einsum("nkd,nd->nk", x[pool], x[own])
+    to_self[pool == own[:, None]] = np.inf
+    order = np.argsort(to_self, axis=1, kind="stable")
+    pool, to_self = pool[row[:, None], order], to_self[row[:, None], order]
+    vectors = x[pool]
+    between = 2.0 - 2.0 * (vectors @ vectors.transpose(0, 2, 1))
     alive, chosen = np.isfinite(to_self), np.zeros((n, k), bool)
     for _ in range(min(degree, k)):
         some = alive.any(1)
@@ -148,10 +159,9 @@ def _prune(distance: np.ndarray, pool: np.ndarray, degree: int) -> np.ndarray:
             break
         pick = alive.argmax(1)
         chosen[some, pick[some]] = True
-        between = distance[pool[np.arange(n), pick][:, None], pool]
-        alive &= ~((ALPHA**2 * between <= to_self) & some[:, None])
-        alive[np.arange(n), pick] = False
-    return np.stack([np.nonzero(chosen)[0], pool[chosen]], 1)
+        alive &= ~((ALPHA**2 * between[row, pick] <= to_self) & some[:, None])
+        alive[row, pick] = False
+    return np.stack([own[np.nonzero(chosen)[0]], pool[chosen]], 1)
 
 
 def build(x: np.ndarray) -> list[np.ndarray]:
@@ -161,20 +171,26 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     k = min(CANDIDATES, n - 1)
     if k < 1:
         return [np.zeros(0, np.int64)] * n
-    distance = np.maximum(2.0 - 2.0 * (x @ x.T), 0.0)
-    np.fill_diagonal(distance, np.inf)
-    near = np.argpartition(distance, k - 1, axis=1)[:, :k]
+    x = x.astype(np.float32)
     far = np.random.default_rng(SEED).integers(0, n, (n, FAR))
-    edges = np.concatenate([_prune(distance, near, DEGREE - FAR_DEGREE), _prune(distance, far, FAR_DEGREE)])
-    both = np.unique(np.concatenate([edges, edges[:, ::-1]]), axis=0)
-    return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, n)))
+    edges, step = [], min(500, max(1, _DISTANCES // n))
+    for lo in range(0, n, step):
+        own = np.arange(lo, min(n, lo + step))
+        cosine = x[own] @ x.T
+        cosine[own - lo, own] = -np.inf
+        near = np.argpartition(cosine, n - k, axis=1)[:, n - k :]
+        edges += [_prune(x, own, near, DEGREE - FAR_DEGREE), _prune(x, own, far[own], FAR_DEGREE)]
+    edges = np.concatenate(edges)
+    code = np.unique(np.concatenate([edges[:, 0] * n + edges[:, 1], edges[:, 1] * n + edges[:, 0]]))
+    return np.split(code % n, np.searchsorted(code // n, np.arange(1, n)))
 
 
 class Graph:
-    """Unit vectors with neighbour lists, one after another in ``near``."""
+    """Unit vectors, in double and in single precision, with neighbour lists, one after
+    another in ``near``."""
 
     def __init__(self, x: np.ndarray, lists: list[np.ndarray]) -> None:
-        self.x = x
+        self.x, self.single = x, x.astype(np.float32)
         self.size = np.array([len(a) for a in lists], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.near = np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
@@ -185,22 +201,23 @@ class Graph:
         at = np.repeat(self.start[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())
         return self.near[at], np.repeat(np.arange(len(nodes)), size)
 
-    def cosines(self, nodes: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
-        out = np.empty(len(nodes))
-        for lo in range(0, len(nodes), _PAIRS):
-            part = slice(lo, lo + _PAIRS)
-            out[part] = np.einsum("pd,pd->p", self.x[nodes[part]], queries[of[part]])
-        return out
+
+def _cosines(x: np.ndarray, nodes: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+    out = np.empty(len(nodes), x.dtype)
+    for lo in range(0, len(nodes), _PAIRS):
+        part = slice(lo, lo + _PAIRS)
+        out[part] = np.einsum("pd,pd->p", x[nodes[part]], queries[of[part]])
+    return out
 
 
 def search(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, member) with a cosine of at least ``threshold``."""
-    x = graph.x
+    x, exact, queries = graph.single, queries, queries.astype(np.float32)
     n, m = len(x), len(queries)
     seen = np.zeros((m, n), bool)
     medoid = int((x @ x.mean(0)).argmax())
     beam = np.zeros((m, BEAM), np.int64)
-    score = np.full((m, BEAM), -np.inf)
+    score = np.full((m, BEAM), -np.inf, np.float32)
     done = np.ones((m, BEAM), bool)
     beam[:, 0], score[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
     seen[:, medoid] = True
@@ -213,12 +230,12 @@ def search(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> t
         new = ~seen[live[of], near]
         near, of = near[new], of[new]
         seen[live[of], near] = True
-        s = graph.cosines(near, queries, live[of])
+        s = _cosines(x, near, queries, live[of])
         close = s >= threshold - SLACK
         hits.append((live[of[close]], near[close], s[close]))
         width = np.bincount(of, minlength=len(live))
         place = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
-        wide_s, wide_b = np.full((len(live), width.max(initial=0)), -np.inf), np.zeros((len(live), width.max(initial=0)), np.int64)
+        wide_s, wide_b = np.full((len(live), width.max(initial=0)), -np.inf, np.float32), np.zeros((len(live), width.max(initial=0)), np.int64)
         wide_s[of, place], wide_b[of, place] = s, near
         all_s, all_b = np.hstack([score[live], wide_s]), np.hstack([beam[live], wide_b])
         all_d = np.hstack([done[live], wide_s == -np.inf])
@@ -234,19 +251,20 @@ def search(graph: Graph, queries: np.ndarray, threshold: float = THRESHOLD) -> t
         if len(q) > _PAIRS:
             todo.append((q[_PAIRS:], at[_PAIRS:], s[_PAIRS:]))
             q, at, s = q[:_PAIRS], at[:_PAIRS], s[:_PAIRS]
-        good = s >= threshold
+        good = s >= threshold - _SINGLE
         found.append((q[good], at[good]))
         near, of = graph.expand(at)
         new = ~seen[q[of], near]
         code = np.unique(q[of[new]] * n + near[new])
         q, at = code // n, code % n
         seen[q, at] = True
-        s = graph.cosines(at, queries, q)
+        s = _cosines(x, at, queries, q)
         close = s >= threshold - SLACK
         if close.any():
             todo.append((q[close], at[close], s[close]))
     q, at = (np.concatenate(c) for c in zip(*found))
-    return q, at
+    good = _cosines(graph.x, at, exact, q) >= threshold
+    return q[good], at[good]
 
 
 def _build_group(frame: pd.DataFrame) -> pd.DataFrame:
@@ -265,7 +283,9 @@ def _exact(x: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.nda
 
 def _linked(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, audited: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs by the graph; by exact comparison where the audited queries miss one."""
-    i, j = search(Graph(x, lists), queries, threshold)
+    graph = Graph(x, lists)
+    walks = [search(graph, queries[lo : lo + WALK_ROWS], threshold) for lo in range(0, len(queries), WALK_ROWS)]
+    i, j = np.concatenate([q + k * WALK_ROWS for k, (q, _) in enumerate(walks)]), np.concatenate([at for _, at in walks])
     if len(audited):
         true = len(_exact(x, queries[audited], threshold)[0])
         if np.isin(i, audited).sum() < true:
@@ -279,11 +299,10 @@ def _search_group(members: pd.DataFrame, asking: pd.DataFrame, threshold: float)
         return none
     members = members.sort_values("cid", kind="stable")
     cid, x, q, who = members.cid.to_numpy(), _unit(members.embedding), _unit(asking.embedding), asking.cid.to_numpy()
-    lists = []
-    for near in members.near:
-        at = np.searchsorted(cid, near)
-        ok = at < len(cid)
-        lists.append(at[ok][cid[at[ok]] == np.asarray(near)[ok]])
+    near, of = np.concatenate(list(members.near)), np.repeat(np.arange(len(cid)), members.near.map(len))
+    at = np.minimum(np.searchsorted(cid, near), len(cid) - 1)
+    here = cid[at] == near
+    lists = np.split(at[here], np.searchsorted(of[here], np.arange(1, len(cid))))
     i, j = _linked(x, lists, q, np.flatnonzero(asking.audited.to_numpy()), threshold)
     counts = (who[i] != cid[j]) & members.counts.to_numpy()[j]
     i, j = i[counts], j[counts]
@@ -303,8 +322,9 @@ def _every(name: str):
     return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
 
-def _cut(rows: DataFrame, group: list[str], name: str) -> DataFrame:
-    return rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+def _cut(rows: DataFrame, group: list[str], name: str, most: int) -> DataFrame:
+    bound = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / (8 * F.first("dim")))))
+    return rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / bound).cast("int").alias(name))
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -318,7 +338,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     group = ["label", "dim", "shard"]
     held = sharded.withColumn("shard", F.explode("homes")).withColumn("counts", F.col("shard") == F.col("homes")[0])
     first = sharded.withColumn("shard", F.explode("asks")).withColumn("audited", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(AUDIT)) == 0)
-    cuts = materialise(_cut(held, group, "chunks").join(_cut(first, group, "blocks"), group), "cuts")
+    cuts = materialise(_cut(held, group, "chunks", CHUNK_ROWS).join(_cut(first, group, "blocks", BLOCK_ROWS), group), "cuts")
     held = held.join(cuts, group).withColumn("chunk", _own("chunks"))
     lists = held.select(*group, "chunk", "cid", "embedding").groupBy(*group, "chunk").applyInPandas(_build_group, "cid long, near array<long>")
     graph = materialise(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
@@ -345,7 +365,7 @@ def audit(rows: DataFrame, judged: DataFrame, key: str = "vec_id", vector: str =
     valid = rows.select(F.col(f"`{key}`").cast("long").alias("cid"), F.col(f"`{vector}`").cast(f"array<{_kind(rows, vector)}>").alias("embedding"), F.col(f"`{label}`").alias("label")).filter(_valid()).withColumn("dim", F.size("embedding"))
     asked = valid.filter(F.col("cid") % every == 0)
     group = ["label", "dim"]
-    cuts = materialise(_cut(valid, group, "chunks").join(_cut(asked, group, "blocks"), group), "cuts")
+    cuts = materialise(_cut(valid, group, "chunks", CHUNK_ROWS).join(_cut(asked, group, "blocks", BLOCK_ROWS), group), "cuts")
     full = [*group, "chunk", "block"]
     m = valid.join(cuts, group).withColumn("chunk", _own("chunks")).withColumn("block", _every("blocks")).groupBy(*full)
     a = asked.join(cuts, group).withColumn("block", _own("blocks")).withColumn("chunk", _every("chunks")).select(*[F.col(c).alias(c) for c in (*full, "cid", "embedding")]).groupBy(*full)

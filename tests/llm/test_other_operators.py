@@ -153,7 +153,8 @@ def cloud(seed, groups, size, spread):
 @pytest.mark.parametrize(("shard", "block"), [(1500, 2000), (40, 25)])
 def test_vectors_equal_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(vector_dedup, "SHARD_ROWS", shard)
-    monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", block)
+    for name in ("CHUNK_ROWS", "BLOCK_ROWS"):
+        monkeypatch.setattr(vector_dedup, name, block)
     nan, inf = float("nan"), float("inf")
     odd = [None, [], [0.0] * 16, [nan] * 16, [inf] * 16, [None, *[1.0] * 15], [1.0, 2.0]]
     data = cloud(1, 12, 14, 0.03)
@@ -172,7 +173,8 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard, block):
 def test_a_dense_group_over_many_shards_loses_no_link(spark, monkeypatch):
     """A third of all rows are distinct near copies of one vector, cut into many shards."""
     monkeypatch.setattr(vector_dedup, "SHARD_ROWS", 30)
-    monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", 250)
+    for name, most in (("CHUNK_ROWS", 250), ("BLOCK_ROWS", 250), ("WALK_ROWS", 60)):
+        monkeypatch.setattr(vector_dedup, name, most)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 64))
     x[::3] = x[0] + rng.normal(size=(400, 64)) * 0.1

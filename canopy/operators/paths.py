@@ -1,4 +1,9 @@
-"""Materialised paths: a column with the segments from the root to the node."""
+"""Materialised paths: a column with the segments from the root to the node.
+
+Every table that is joined here has a row for each node.  The planner takes it for
+as small as its compressed files and would send it whole through the driver, so
+the joins ask to be merged.
+"""
 
 from __future__ import annotations
 
@@ -61,10 +66,10 @@ def assemble(df: DataFrame, spec: TreeSpec, path: PathSpec) -> DataFrame:
     rows = with_paths(df, spec).withColumn("__seg", path.clean())
     seg = rows.select(scope_key(spec).alias("g_s"), col(spec.id).alias("g_id"), F.col("__seg").alias("g"))
     pairs = closure(rows, spec)
-    got = pairs.join(seg, (pairs.s == seg.g_s) & (pairs.anc == seg.g_id))
+    got = pairs.join(seg.hint("merge"), (pairs.s == seg.g_s) & (pairs.anc == seg.g_id))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), F.col("g")))), lambda x: x["g"])
     made = got.groupBy(F.col("s").alias("m_s"), col(spec.id).alias("m_id")).agg(path.joined(ordered).alias("__path_made"))
-    tagged = df.withColumn("__s", scope_key(spec)).join(made, (F.col("__s") == F.col("m_s")) & (col(spec.id) == F.col("m_id")), "left")
+    tagged = df.withColumn("__s", scope_key(spec)).join(made.hint("merge"), (F.col("__s") == F.col("m_s")) & (col(spec.id) == F.col("m_id")), "left")
     keep = [c for c in df.columns if c != path.column]
     return tagged.select(*[col(c) for c in keep], F.col("__path_made").alias(path.column))
 

@@ -10,6 +10,9 @@ lie deeper than ``DENSE_DEPTH``, the intervals come from ranking the Euler tour
 instead: every node has an opening and a closing event, each event knows the next,
 and pointer doubling counts the events to the end.  That costs log2(2 n) joins of
 narrow rows whatever the shape.
+
+Joins of tables with a row for each node ask to be merged: the planner takes such a
+table for as small as its compressed files and would send it through the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool, alway
     keys = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)])
     base = df.select(scope_key(spec).alias("s"), col(spec.id).alias("node"), col(spec.parent).alias("up"), F.lit(1).cast("long").alias("n"), *([F.array(col(spec.id)).alias("anc"), F.array(keys).alias("ord")] if paths else []))
     ids = base.select(F.col("s").alias("p_s"), F.col("node").alias("p_node")).distinct()
-    known = base.join(ids, (base.s == ids.p_s) & (base.up == ids.p_node), "left")
+    known = base.join(ids.hint("merge"), (base.s == ids.p_s) & (base.up == ids.p_node), "left")
     # a parent that does not exist leaves its child, and all below, unreached
     lost = F.col("up").isNotNull() & F.col("p_node").isNull()
     kind = dict(df.dtypes)[spec.id]
@@ -49,7 +52,7 @@ def _doubled(df: DataFrame, spec: TreeSpec, order: list[str], paths: bool, alway
         if (paths and costly and not always) or 1 << rounds > 2 * mark["rows"]:
             return state, False
         t = state.select(F.col("s").alias("t_s"), F.col("node").alias("t_node"), F.col("up").alias("t_up"), F.col("n").alias("t_n"), F.col("lost").alias("t_lost"), *([F.col("anc").alias("t_anc"), F.col("ord").alias("t_ord")] if paths else []))
-        j = state.join(t, (F.col("s") == F.col("t_s")) & (F.col("up") == F.col("t_node")), "left")
+        j = state.join(t.hint("merge"), (F.col("s") == F.col("t_s")) & (F.col("up") == F.col("t_node")), "left")
         grown = [F.concat(F.coalesce(F.col(f"t_{c}"), F.array().cast(dict(state.dtypes)[c])), F.col(c)).alias(c) for c in (["anc", "ord"] if paths else [])]
         state = materialise(j.select("s", "node", F.col("t_up").alias("up"), (F.col("n") + F.coalesce("t_n", F.lit(0))).alias("n"), (F.col("lost") | F.coalesce("t_lost", F.lit(False))).alias("lost"), *grown), "paths", instead_of=state)
         rounds += 1
@@ -82,7 +85,7 @@ def build(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = None, alwa
 
     rows = df.withColumn("__s", scope_key(spec))
     placed = placed.withColumnsRenamed({"s": "__b_s", "node": "__b_node"})  # a table may have columns of these names
-    joined = rows.join(placed, (F.col("__s") == F.col("__b_s")) & (col(spec.id) == F.col("__b_node")), "left")
+    joined = rows.join(placed.hint("merge"), (F.col("__s") == F.col("__b_s")) & (col(spec.id) == F.col("__b_node")), "left")
     has = F.col("__b_node").isNotNull()
     return joined.select(
         *[col(c) for c in kept],
@@ -98,7 +101,7 @@ def _by_path(reached: DataFrame) -> DataFrame:
     sizes = reached.select("s", F.explode("anc").alias("node")).groupBy("s", "node").agg(F.count(F.lit(1)).alias("size"))
     ranked = global_rank(reached.select("s", "node", "anc", "ord"), [F.col("s"), F.col("ord")], "r")
     first = ranked.groupBy("s").agg(F.min("r").alias("r0"))
-    rows = ranked.join(first, "s").join(sizes, ["s", "node"])
+    rows = ranked.join(first, "s").join(sizes.hint("merge"), ["s", "node"])
     d, k = F.size("anc") - 1, F.col("r") - F.col("r0")
     lft = 2 * k - d + 1
     return rows.select("s", "node", lft.alias("p_lft"), (lft + 2 * F.col("size") - 1).alias("p_rgt"), d.alias("p_depth"), F.col("anc").alias("p_anc"))

@@ -289,3 +289,14 @@ def test_stale_to_the_fraction_of_a_second(spark):
     now = datetime(2024, 1, 1, 0, 0, 10, 500_000)
     rows = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 0, 8, 500_000)), (2, datetime(2024, 1, 1, 0, 0, 8, 500_001)), (3, None)], "id long, total_computed_at timestamp")
     assert sorted(r["id"] for r in rows.filter(incremental.is_stale(lazy, now)).collect()) == [1, 3]
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_path_assembly_sends_no_table_of_nodes_through_the_driver(tree):
+    rows = scratch.materialise(tree.df, "tree")
+    made = paths.assemble(rows, tree.spec, paths.PathSpec.attribute("p", "name"))
+    assert broadcasts(made) == 0
+    assert {r["id"]: r["p"] for r in made.collect()} == {1: "/a/", 2: "/a/b/", 3: "/a/b/c/", 4: "/a/b/d/", 5: "/a/e/", 6: "/f/"}

@@ -300,3 +300,19 @@ def test_path_assembly_sends_no_table_of_nodes_through_the_driver(tree):
     made = paths.assemble(rows, tree.spec, paths.PathSpec.attribute("p", "name"))
     assert broadcasts(made) == 0
     assert {r["id"]: r["p"] for r in made.collect()} == {1: "/a/", 2: "/a/b/", 3: "/a/b/c/", 4: "/a/b/d/", 5: "/a/e/", 6: "/f/"}
+
+
+def crossing(rows):
+    return sum(s == t and a < b < c < d for s, _, a, c in rows for t, _, b, d in rows)
+
+
+@pytest.mark.parametrize("top", [6, 60, 10**9])
+def test_overlaps_are_counted_and_no_pair_is_made(spark, monkeypatch, top):
+    monkeypatch.setattr(integrity, "BLOCK_ROWS", 7)
+    rnd = random.Random(top)
+    rows = [(rnd.randrange(2), i, rnd.randrange(top), rnd.randrange(top)) for i in range(300)]
+    df = spark.createDataFrame(rows, "tenant int, id long, lft long, rgt long")
+    got = integrity.overlaps(df, TreeSpec(scope=("tenant",)))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first()["n"] == crossing([r for r in rows if r[2] < r[3]])
+    assert integrity.overlaps(df.limit(0), TreeSpec()).first()["n"] == 0

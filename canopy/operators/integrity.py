@@ -31,7 +31,7 @@ def _one(df: DataFrame, check: str) -> DataFrame:
 
 def _with_parent(df: DataFrame, spec: TreeSpec) -> DataFrame:
     p = df.select(scope_key(spec).alias("p_s"), col(spec.id).alias("p_id"), col(spec.lft).alias("p_lft"), col(spec.rgt).alias("p_rgt"), col(spec.depth).alias("p_depth"))
-    return df.withColumn("__s", scope_key(spec)).join(p, (F.col("__s") == F.col("p_s")) & (col(spec.parent) == F.col("p_id")))
+    return df.withColumn("__s", scope_key(spec)).join(p.hint("merge"), (F.col("__s") == F.col("p_s")) & (col(spec.parent) == F.col("p_id")))
 
 
 def _duplicates(df: DataFrame, spec: TreeSpec, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def collisions(df: DataFrame, spec: TreeSpec) -> DataFrame:
     """Placed rows whose lft is another row's rgt."""
     a = df.filter(col(spec.lft) >= 1).select(scope_key(spec).alias("a_s"), col(spec.id).alias("a_id"), col(spec.lft).alias("v"))
     b = df.select(scope_key(spec).alias("b_s"), col(spec.id).alias("b_id"), col(spec.rgt).alias("w"))
-    return a.join(b, (F.col("a_s") == F.col("b_s")) & (F.col("v") == F.col("w")) & (F.col("a_id") != F.col("b_id")))
+    return a.join(b.hint("merge"), (F.col("a_s") == F.col("b_s")) & (F.col("v") == F.col("w")) & (F.col("a_id") != F.col("b_id")))
 
 
 def _inversions(x: np.ndarray) -> int:

@@ -316,3 +316,11 @@ def test_overlaps_are_counted_and_no_pair_is_made(spark, monkeypatch, top):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.first()["n"] == crossing([r for r in rows if r[2] < r[3]])
     assert integrity.overlaps(df.limit(0), TreeSpec()).first()["n"] == 0
+
+
+def test_checks_send_no_table_of_nodes_through_the_driver(tree):
+    rows = scratch.materialise(tree.df, "tree")
+    for name in ("parent_bounds_mismatch", "depth_mismatch", "bounds_out_of_range", "overlapping_bounds"):
+        found = integrity.check(rows, tree.spec, name)
+        assert found.first()["n"] == 0
+        assert name == "overlapping_bounds" or broadcasts(found) == 0  # there, a row for each partition

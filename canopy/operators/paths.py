@@ -80,7 +80,7 @@ def problems(df: DataFrame, spec: TreeSpec, path: PathSpec) -> DataFrame:
     rows = assemble(df, spec, path).withColumn("__seg", path.clean())
     group = rows.groupBy(scope_key(spec).alias("d_s"), col(spec.parent).alias("d_up"), F.col("__seg").alias("d_seg")).agg(F.count(F.lit(1)).alias("d_n")).filter("d_n > 1")
     on = (scope_key(spec) == F.col("d_s")) & col(spec.parent).eqNullSafe(F.col("d_up")) & F.col("__seg").eqNullSafe(F.col("d_seg"))
-    marked = rows.join(group, on, "left").withColumn("__twice", F.col("d_n").isNotNull() if path.unique_per_parent else F.lit(False))
+    marked = rows.join(group.hint("merge"), on, "left").withColumn("__twice", F.col("d_n").isNotNull() if path.unique_per_parent else F.lit(False))
     kind = (
         F.when(F.coalesce(F.col("__seg"), F.lit("")) == "", "empty")
         .when(F.contains(F.col("__seg"), F.lit(path.separator)), "separator")

@@ -302,6 +302,13 @@ def test_path_assembly_sends_no_table_of_nodes_through_the_driver(tree):
     assert {r["id"]: r["p"] for r in made.collect()} == {1: "/a/", 2: "/a/b/", 3: "/a/b/c/", 4: "/a/b/d/", 5: "/a/e/", 6: "/f/"}
 
 
+def test_path_problems_send_no_table_of_nodes_through_the_driver(tree):
+    rows = scratch.materialise(tree.df, "tree")
+    found = paths.problems(rows, tree.spec, paths.PathSpec.of("p", F.when(F.col("id") > 4, "").otherwise("z")))
+    assert broadcasts(found) == 0
+    assert {(r["id"], r["problem"]) for r in found.collect()} == {(3, "duplicate"), (4, "duplicate"), (5, "empty"), (6, "empty")}
+
+
 def crossing(rows):
     return sum(s == t and a < b < c < d for s, _, a, c in rows for t, _, b, d in rows)
 

@@ -309,6 +309,13 @@ def test_path_problems_send_no_table_of_nodes_through_the_driver(tree):
     assert {(r["id"], r["problem"]) for r in found.collect()} == {(3, "duplicate"), (4, "duplicate"), (5, "empty"), (6, "empty")}
 
 
+def test_rewritten_paths_send_no_table_of_nodes_through_the_driver(tree):
+    rows, p = scratch.materialise(tree.df, "tree"), paths.PathSpec.key("p", tree.spec)
+    moved = paths.rewritten(paths.assemble(rows, tree.spec, p), tree.spec, p, 2, lambda d: mutate.append_to(d, tree.spec, 2, 6))
+    assert broadcasts(moved) == 0
+    assert {r["id"]: r["p"] for r in moved.collect()} == {1: "/1/", 2: "/6/2/", 3: "/6/2/3/", 4: "/6/2/4/", 5: "/1/5/", 6: "/6/"}
+
+
 def crossing(rows):
     return sum(s == t and a < b < c < d for s, _, a, c in rows for t, _, b, d in rows)
 

@@ -133,10 +133,10 @@ def fix_paths(df: DataFrame, spec: TreeSpec, path: PathSpec, anchor=None) -> tup
         row = mutate.node(df, spec, anchor)
         hit = same_scope(spec, mutate.scope_of(row, spec)) & descendant_or_self(spec, mutate.bounds_of(row, spec))
         made = fresh.select(scope_key(spec).alias("f_s"), col(spec.id).alias("f_id"), col(path.column).alias("f_path"))
-        j = df.withColumn("__s", scope_key(spec)).join(made, (F.col("__s") == F.col("f_s")) & (col(spec.id) == F.col("f_id")), "left")
+        j = df.withColumn("__s", scope_key(spec)).join(made.hint("merge"), (F.col("__s") == F.col("f_s")) & (col(spec.id) == F.col("f_id")), "left")
         fresh = j.withColumn(path.column, F.when(hit, F.col("f_path")).otherwise(col(path.column))).select(*[col(c) for c in df.columns])
     old = df.select(scope_key(spec).alias("o_s"), col(spec.id).alias("o_id"), col(path.column).alias("o_path"))
-    j = fresh.withColumn("__s", scope_key(spec)).join(old, (F.col("__s") == F.col("o_s")) & (col(spec.id) == F.col("o_id")))
+    j = fresh.withColumn("__s", scope_key(spec)).join(old.hint("merge"), (F.col("__s") == F.col("o_s")) & (col(spec.id) == F.col("o_id")))
     return fresh, j.filter(~col(path.column).eqNullSafe(F.col("o_path"))).count()
 
 

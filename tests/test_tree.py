@@ -316,6 +316,15 @@ def test_rewritten_paths_send_no_table_of_nodes_through_the_driver(tree):
     assert {r["id"]: r["p"] for r in moved.collect()} == {1: "/1/", 2: "/6/2/", 3: "/6/2/3/", 4: "/6/2/4/", 5: "/1/5/", 6: "/6/"}
 
 
+def test_path_repair_sends_no_table_of_nodes_through_the_driver(tree):
+    p = paths.PathSpec.key("p", tree.spec)
+    stored = paths.assemble(tree.df, tree.spec, p).withColumn("p", F.when(F.col("id").isin(3, 5), "/wrong/").otherwise(F.col("p")))
+    stored = scratch.materialise(stored, "stored")
+    fixed, n = paths.fix_paths(stored, tree.spec, p, 2)
+    assert broadcasts(fixed) == 0 and n == 1
+    assert {r["id"]: r["p"] for r in fixed.collect()} == {1: "/1/", 2: "/1/2/", 3: "/1/2/3/", 4: "/1/2/4/", 5: "/wrong/", 6: "/6/"}
+
+
 def crossing(rows):
     return sum(s == t and a < b < c < d for s, _, a, c in rows for t, _, b, d in rows)
 

@@ -295,9 +295,9 @@ class AggregateRepair:
 def repair_aggregates(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=None, chunk_rows: int | None = None, on_chunk: Callable[[Chunk], None] | None = None, done: int = 0) -> AggregateRepair:
     """Drifted aggregates made right and counted.
 
-    Drift is found once; the rows to correct are then taken in chunks of about
-    ``chunk_rows``, dealt by a hash of their key, each written before ``on_chunk``
-    hears of it.  A job that stops early goes on from chunk ``done``.  The tree
+    Drift is found once and all corrections are written at once, however many chunks
+    they make; ``on_chunk`` then hears of chunks of about ``chunk_rows``, dealt by a
+    hash of their key.  A job that stops early goes on from chunk ``done``.  The tree
     that results has every chunk's corrections, those of earlier runs included.
     """
     fresh = materialise(_fresh(df, spec, aggs, anchor), "fresh")
@@ -308,22 +308,18 @@ def repair_aggregates(df: DataFrame, spec: TreeSpec, aggs: list[Agg], anchor=Non
     for w in wrong.values():
         any_wrong = any_wrong | w
     hits = materialise(j.filter(any_wrong).select(SCOPE, NODE, *[F.col(f"__f_{a.alias}") for a in aggs], *[w.alias(f"__w_{c}") for c, w in wrong.items()]), "drift")
-    total = hits.count()
+    sums = hits.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(f"__w_{a.alias}")).alias(a.alias) for a in aggs]).first()
+    total = sums["__n"]
     n = 1 if not chunk_rows else max(1, -(-total // chunk_rows))
-    each = hits.withColumn("__chunk", F.pmod(F.xxhash64(SCOPE, NODE), F.lit(n)).cast("int"))
-    counted = {r["__chunk"]: r for r in each.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(f"__w_{a.alias}")).alias(a.alias) for a in aggs]).collect()}  # one row for each chunk
-    fixed = []
-    for k in range(n):
-        part = each.filter(F.col("__chunk") == k).select(SCOPE, NODE, *[f"__f_{a.alias}" for a in aggs])
-        if k < done or n == 1:
-            fixed.append(part)
-        else:
-            fixed.append(materialise(part, "chunk"))
-        if k >= done and on_chunk:
-            r = counted.get(k)
-            on_chunk(Chunk(k, r["__n"] if r else 0, {a.alias: r[a.alias] if r else 0 for a in aggs}, k + 1 < n))
-    rows = fixed[0]
-    for part in fixed[1:]:
-        rows = rows.union(part)
-    per_column = {a.alias: sum(r[a.alias] for r in counted.values()) for a in aggs}
+    if on_chunk and done < n:
+        each = hits.withColumn("__chunk", F.pmod(F.xxhash64(SCOPE, NODE), F.lit(n)).cast("int"))
+        counted = each.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(f"__w_{a.alias}")).alias(a.alias) for a in aggs])
+        # one row for each chunk; a partition of them is on the driver at a time
+        rows = counted.filter(F.col("__chunk") >= done).orderBy("__chunk").toLocalIterator()
+        r = next(rows, None)
+        for k in range(done, n):
+            mine, r = (r, next(rows, None)) if r and r["__chunk"] == k else (None, r)
+            on_chunk(Chunk(k, mine["__n"] if mine else 0, {a.alias: mine[a.alias] if mine else 0 for a in aggs}, k + 1 < n))
+    rows = hits.select(SCOPE, NODE, *[f"__f_{a.alias}" for a in aggs])
+    per_column = {a.alias: sums[a.alias] for a in aggs}
     return AggregateRepair(_overwritten(df, spec, aggs, rows), total, per_column, n)

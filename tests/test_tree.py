@@ -347,3 +347,24 @@ def test_checks_send_no_table_of_nodes_through_the_driver(tree):
         found = integrity.check(rows, tree.spec, name)
         assert found.first()["n"] == 0
         assert name == "overlapping_bounds" or broadcasts(found) == 0  # there, a row for each partition
+
+
+def test_a_repair_in_many_chunks_writes_no_table_for_each(tree, monkeypatch):
+    stored = scratch.materialise(tree.with_fresh(Agg.sum("x").into("total")).withColumn("total", F.col("total") + 1), "stored")
+    written, told = [], []
+    write = integrity.materialise
+    monkeypatch.setattr(integrity, "materialise", lambda df, label, *a: written.append(label) or write(df, label, *a))
+
+    def stop(chunk):
+        told.append(chunk)
+        if len(told) == 2:
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        integrity.repair_aggregates(stored, tree.spec, [Agg.sum("x").into("total")], chunk_rows=1, on_chunk=stop)
+    out = integrity.repair_aggregates(stored, tree.spec, [Agg.sum("x").into("total")], chunk_rows=1, on_chunk=told.append, done=2)
+    assert written == ["fresh", "drift"] * 2
+    assert [c.number for c in told] == list(range(6)) and [c.more for c in told] == [True] * 5 + [False]
+    assert sum(c.rows_updated for c in told) == sum(c.per_column["total"] for c in told) == 6
+    assert (out.rows_updated, out.per_column, out.chunks) == (6, {"total": 6}, 6)
+    assert {r["id"]: r["total"] for r in out.tree.collect()} == {1: 13, 2: 10, 3: 8, 4: 0, 5: -1, 6: 7}

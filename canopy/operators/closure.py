@@ -11,13 +11,14 @@ from ..spec import TreeSpec, col
 
 def with_paths(df: DataFrame, spec: TreeSpec) -> DataFrame:
     """``df`` with root paths; they are derived where it lacks them.  Intervals that
-    the rows already have are kept."""
+    the rows already have are kept.  Both tables have a row for each node, so the join
+    asks to be merged."""
     if ANC in df.columns:
         return df
     made = build(df.select(*dict.fromkeys([*spec.scope, spec.id, spec.parent])), spec, always_paths=True)
     paths = made.select(scope_key(spec).alias("__p_s"), col(spec.id).alias("__p_node"), ANC, REACHED)
     rows = df.drop(REACHED).withColumn("__s", scope_key(spec))
-    joined = rows.join(paths, (F.col("__s") == F.col("__p_s")) & (col(spec.id) == F.col("__p_node")), "left")
+    joined = rows.join(paths.hint("merge"), (F.col("__s") == F.col("__p_s")) & (col(spec.id) == F.col("__p_node")), "left")
     return joined.drop("__s", "__p_s", "__p_node")
 
 

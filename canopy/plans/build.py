@@ -74,7 +74,7 @@ def build(df: DataFrame, spec: TreeSpec, order_by: list[str] | None = None, alwa
         state, _ = _doubled(df, spec, order, False)
     if not ended and always_paths:  # without cycles, whose paths would never end
         known = state.filter(F.col("up").isNull() & ~F.col("lost")).select(F.col("s").alias("w_s"), F.col("node").alias("w_node"))
-        whole = df.withColumn("__s", scope_key(spec)).join(known, (F.col("__s") == F.col("w_s")) & (col(spec.id) == F.col("w_node")), "left_semi").drop("__s")
+        whole = df.withColumn("__s", scope_key(spec)).join(known.hint("merge"), (F.col("__s") == F.col("w_s")) & (col(spec.id) == F.col("w_node")), "left_semi").drop("__s")
         state, _ = _doubled(whole, spec, order, True, True)
     reached = state.filter(F.col("up").isNull() & ~F.col("lost"))
     placed = _by_tour(df, spec, order, reached) if deep else _by_path(reached)

@@ -316,6 +316,18 @@ def test_rewritten_paths_send_no_table_of_nodes_through_the_driver(tree):
     assert {r["id"]: r["p"] for r in moved.collect()} == {1: "/1/", 2: "/6/2/", 3: "/6/2/3/", 4: "/6/2/4/", 5: "/1/5/", 6: "/6/"}
 
 
+@pytest.mark.parametrize("looped", [False, True])
+def test_paths_found_anew_send_no_table_of_nodes_through_the_driver(spark, tree, looped):
+    extra = [(8, 9, "h", 0, 0, False, 0), (9, 8, "i", 0, 0, False, 0)] if looped else []
+    rows = scratch.materialise(spark.createDataFrame(ROWS + extra, "id long, parent_id long, name string, x int, w int, flag boolean, bits long"), "rows")
+    moved = rows.withColumn("parent_id", F.when(F.col("id") == 2, 6).otherwise(F.col("parent_id")).cast("long"))
+    made = paths.assemble(moved, tree.spec, paths.PathSpec.key("p", tree.spec))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "__p_node" in x]
+    want = {1: "/1/", 2: "/6/2/", 3: "/6/2/3/", 4: "/6/2/4/", 5: "/1/5/", 6: "/6/"}
+    assert {r["id"]: r["p"] for r in made.collect()} == want | ({8: None, 9: None} if looped else {})
+
+
 def test_path_repair_sends_no_table_of_nodes_through_the_driver(tree):
     p = paths.PathSpec.key("p", tree.spec)
     stored = paths.assemble(tree.df, tree.spec, p).withColumn("p", F.when(F.col("id").isin(3, 5), "/wrong/").otherwise(F.col("p")))

@@ -50,3 +50,9 @@ def test_entry(spark):
 def test_every_query_has_sql_or_a_reason():
     without = {n for n in entry.queries() if n.startswith("q_")} - set(NAMES)
     assert not without
+
+
+@pytest.mark.parametrize("name", ["q_V12_anchor"])
+def test_path_query_sends_no_table_of_nodes_through_the_driver(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -52,7 +52,7 @@ def test_every_query_has_sql_or_a_reason():
     assert not without
 
 
-@pytest.mark.parametrize("name", ["q_V12_anchor", "q_H1", "q_H2", "q_H4", "q_H4_rename"])
+@pytest.mark.parametrize("name", ["q_V12_anchor", "q_H1", "q_H2", "q_H4", "q_H4_rename", "q_U7"])
 def test_path_query_sends_no_table_of_nodes_through_the_driver(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
